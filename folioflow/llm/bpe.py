@@ -271,9 +271,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                     digests.append(hashlib.sha256(joined.encode("ascii")).hexdigest())
                     decoded.append(hashlib.sha256(own.decode(got)).hexdigest())
                     if ids:
-                        lists.append(got.tolist())
+                        lists.append(got)
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-                columns += [pa.array(lists, pa.list_(pa.int32()))] * ids
+                if ids:
+                    ends = np.concatenate([[0], np.cumsum(counts)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, schema)

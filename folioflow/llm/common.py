@@ -149,3 +149,34 @@ def run_in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch
                     yield out
 
     return df.mapInArrow(go, schema)
+
+
+#: Bits of an id filter, as a power of two; its size does not depend on the data.
+FILTER_BITS = 22
+
+
+def _places(ids: pa.Array) -> np.ndarray:
+    _, _, hashes, at = words(*utf8(ids), breaks=np.zeros(256, dtype=bool))
+    out = np.zeros(len(ids), dtype=np.int64)
+    out[np.diff(at) > 0] = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return out
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A bitmap of fixed size with a place set for each id (one string column). Each task makes one; the driver joins them one by one."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[_places(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << FILTER_BITS >> 3, dtype=np.uint8)
+    for row in ids.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row.bits, dtype=np.uint8)
+    return out.tobytes()
+
+
+def may_hold(bits: bytes, ids: pa.Array) -> pa.Array:
+    """Which ids may be in the filter: all that are, and few others unless it is full."""
+    return pa.array(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).view(bool)[_places(ids)])

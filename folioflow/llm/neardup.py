@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, run_in_arrow, slices, table, utf8, windows, words
+from .common import id_filter, may_hold, mix, run_in_arrow, slices, table, utf8, windows, words
 from .graph import components
 
 #: Words of a shingle; similarity as a percentage.
 SHINGLE, PERCENT = 5, 75
 #: Coordinates of a sketch are BANDS * ROWS. A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS, ROWS = 32, 4
-#: Bits of the filter that tells which documents may be needed for verification; its size does not depend on the data.
-FILTER_BITS = 22
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,43 +98,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return run_in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, f"doc_id {key}, n_shingles bigint, sig binary, bands array<bigint>", 1)
 
 
-def _filter_places(ids: list[str]) -> np.ndarray:
-    return np.array([hash_text(x) for x in ids], dtype=np.int64)
-
-
-def hash_text(x: str) -> int:
-    """A stable place of an id in the filter."""
-    h = 0xCBF29CE484222325
-    for b in x.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (h ^ h >> 29) & ((1 << FILTER_BITS) - 1)
-
-
-def _filter(ids: DataFrame) -> bytes:
-    """A bitmap of fixed size with a place set for each id of `ids`; each task makes one, and they are joined in pairs."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches:
-            bits[_filter_places(batch.column(0).to_pylist())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(1 << FILTER_BITS >> 3, dtype=np.uint8)
-    for row in ids.mapInArrow(mark, "bits binary").coalesce(8).toLocalIterator():
-        out |= np.frombuffer(row.bits, dtype=np.uint8)
-    return out.tobytes()
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(sig, items) of the classes in `wanted` (doc_id, sig): whole shingle sets, read again from the texts of one document each."""
-    places = docs.sparkSession.sparkContext.broadcast(_filter(wanted.select(F.col("doc_id").cast("string"))))
+    places = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(places.value, dtype=np.uint8)).view(bool)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            hit = batch.filter(pa.array(bits[_filter_places([x or "" for x in ids])] if ids else np.zeros(0, dtype=bool)))
-            for part in slices(hit, 1):
+            for part in slices(batch.filter(may_hold(places.value, batch.column(0))), 1):
                 items, at = shingles(*utf8(part.column(1)))
                 full = np.diff(at) > 0
                 sig = pa.array(_signatures(items, at), pa.binary()).filter(pa.array(full))

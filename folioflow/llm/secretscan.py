@@ -49,10 +49,14 @@ def _kinds(text: Column) -> list[Column]:
     out = []
     for rank, (name, pattern, group, least) in enumerate((*BASE, TOKEN)):
         spans = found(text, _LONG.get(name, pattern), group, least, r"[A-Za-z0-9+/_=-]{24}" if name == "owned" else None)
-        out.append(F.transform(spans, lambda s, rank=rank, name=name: F.struct(s.start.alias("start"), F.lit(rank).alias("rank"), s.end.alias("end"), F.lit(name).alias("kind"), F.xxhash64(s.value).alias("hash"), F.sha2(s.value, 256).alias("digest"))))
+        out.append(F.transform(spans, _labelled(rank, name)))
     return out
 
 
+def _labelled(rank: int, name: str):
+    return lambda s: F.struct(s.start.alias("start"), F.lit(rank).alias("rank"), s.end.alias("end"), F.lit(name).alias("kind"), F.xxhash64(s.value).alias("hash"), F.sha2(s.value, 256).alias("digest"))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """(row, doc_id, repo, base, more[, kept columns]) of every row: spans of the base kinds, and the method's candidates that no base span overlaps."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -92,7 +96,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     own = rows.select("row", F.explode(F.concat("base", "more")).alias("c")).select("row", "c.*")
     judged = own.join(known, ["hash", "digest"]).select("row", F.struct("start", "rank", "end", "kind", ((F.col("owners") <= LIVE_OWNERS) & (F.col("repos") <= LIVE_REPOS)).alias("live")).alias("s"))
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    full = rows.join(per_row, "row", "left").withColumn("s", F.coalesce("s", F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,live:boolean>>)")))
+    some = F.size("base") + F.size("more") > 0
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,live:boolean>>)")
+    full = rows.where(some).join(per_row, "row").unionByName(rows.where(~some).withColumn("s", none))
     kept = F.filter("s", lambda s: (s.rank < 3) | s.live)
     count = lambda rank: F.size(F.filter("base", lambda b: b.rank == rank)).cast("bigint")
     return full.select(
