@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_filter, may_hold, mix, run_in_arrow, slices, table, utf8, windows, words
@@ -16,6 +16,11 @@ from .graph import components
 SHINGLE, PERCENT = 5, 75
 #: Coordinates of a sketch are BANDS * ROWS. A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS, ROWS = 32, 4
+#: Rounds in which buckets are tried with one centre each, and the open pairs a row of the open buckets that end them early.
+ROUNDS, SETTLED = 1, 2
+#: A pair is not verified if this many of its 128 coordinates, of which 4 bits are held, differ. At similarity 0.75 they
+#: differ with probability 0.234 each, so that many do with probability 4e-7.
+UNLIKE = 59
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +79,23 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(coordinates: np.ndarray) -> np.ndarray:
+    """Four mixed bits of each coordinate, sixteen to a 64-bit number."""
+    bits = (mix(coordinates.copy()) >> np.uint64(60)).reshape(len(coordinates), -1, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+
+def _differing(a: str, b: str) -> Column:
+    """In how many coordinates two marks differ."""
+    total = F.lit(0)
+    for i in range(BANDS * ROWS // 16):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
 def _signatures(items: np.ndarray, at: np.ndarray) -> list[bytes]:
     """128 bits of each set, from sums of its items' hashes; the same for equal sets."""
     sums = []
@@ -84,18 +106,19 @@ def _signatures(items: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, sig, bands) of each row; sig and bands are null for an empty set."""
+    """(doc_id, n_shingles, sig, bands, marks) of each row; the last three are null for an empty set."""
     key = docs.schema[id_col].dataType.simpleString()
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
         items, at = shingles(*utf8(part.column(1)))
         full = np.diff(at) > 0
-        marks = bands(sketch(items, at)).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]), pa.int32()), pa.array(marks[full].ravel()))
+        coordinates = sketch(items, at)[full]
+        hashed = [bands(coordinates).view(np.int64), marks(coordinates).view(np.int64)]
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * x.shape[1])]), pa.int32()), pa.array(x.ravel())) for x in hashed]
         sig = pa.array([s if f else None for s, f in zip(_signatures(items, at), full)], pa.binary())
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), sig, lists], ["doc_id", "n_shingles", "sig", "bands"])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), sig, *lists], ["doc_id", "n_shingles", "sig", "bands", "marks"])
 
-    return run_in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, f"doc_id {key}, n_shingles bigint, sig binary, bands array<bigint>", 1)
+    return run_in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, f"doc_id {key}, n_shingles bigint, sig binary, bands array<bigint>, marks array<bigint>", 1)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,6 +147,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).cast("bigint").alias("united"))
 
 
+def _unsettled(state: DataFrame, final: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows (band, sig, weight, marks, root) of the buckets that still hold several components, the pairs across these, and the rows."""
+    now = state.select("band", "sig", "weight", "marks").join(final, F.col("sig") == F.col("node"), "left").select("band", "sig", "weight", "marks", F.coalesce("root", "sig").alias("root"))
+    now = table(now, "rooted")
+    sizes = now.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("roots")).where("roots > 1")
+    sizes = table(sizes, "mixed")
+    total = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("squares")), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    return table(now.join(sizes.select("band"), "band"), "unsettled"), total.pairs // 2, total.n
+
+
+def _reachable(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of `state` that a class of another component can still be similar to, with n (shingles) and c (those of them
+    that some class of another component in `state` has too; no such class shares more).
+
+    Similarity 0.75 needs c >= 0.75 n. A text that differs from its group by words of its own fails here, without being
+    compared with the group's members.
+    """
+    each = table(state.select("sig", "root").distinct().join(sets, "sig").select("sig", "root", F.size("items").alias("n"), F.explode("items").alias("item")), "open-items")
+    common = table(each.groupBy("item").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("item"), "common")
+    counts = each.join(common, "item").groupBy("sig").agg(F.max("n").alias("n"), F.count("*").alias("c")).where(F.col("c") * 100 >= F.col("n") * PERCENT)
+    return table(state.join(table(counts, "reach"), "sig"), "reachable")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: (doc_id, n_shingles, component_id, kept).
 
@@ -131,34 +177,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links reach, and a document is kept if that is its own. Null, empty and wordless texts have no shingles and stay alone.
     Rows that repeat get the same answer each. Of rows with a null doc_id, alone, component_id is null and kept true.
 
-    Documents with equal sets form one class, which is sketched once and never expanded. In a bucket of a band, every class
-    is verified against the bucket's least class. Pairs of one bucket that these links leave in different components are
-    verified as well, but for those that the two similarities to the bucket's least class already exclude by the triangle
-    inequality of the Jaccard distance. So no pair inside a group of copies is expanded, and no link between components is lost.
+    Documents with equal sets form one class, which is sketched once and never expanded. In a round, every class is verified
+    against one centre in each of its buckets, and components are formed; buckets that lie in one component are done. The first
+    centre is the class that meets the most others, later ones follow a hash. When few pairs of one bucket are left in
+    different components, or after ROUNDS, all of these that were not verified are. So the pairs inside a group of copies are
+    not expanded, and no link between components is lost; texts that share buckets without being similar are what is left. Of those,
+    a pair is verified only if the shingles that each side shares with other components at all, and their sketches, allow it.
     """
     rows = table(sketches(docs, id_col, text_col), "sketches")
-    classes = table(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
+    classes = table(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
     members = classes.select("sig", F.explode("bands").alias("band"))
-    shared = table(members.groupBy("band").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).where("least <> most").select("band", "least"), "buckets")
-    inside = table(members.join(shared, "band").select("band", "sig", "least"), "bucket-members")
-    stars = inside.where("sig <> least").select(F.col("sig").alias("a"), F.col("least").alias("b")).distinct()
-    needed = inside.select("sig").distinct().join(classes.select("sig", "doc_id"), "sig")
+    shared = table(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    inside = table(members.join(shared, "band").select("band", "sig", "n"), "bucket-members")
+    # A class that meets many others comes first as a centre: the text that a group was copied from meets the most.
+    weights = inside.groupBy("sig").agg(F.sum("n").alias("weight"))
+    needed = table(weights.join(classes.select("sig", "doc_id", "marks"), "sig"), "needed")
     sets = table(_sets(docs, needed, id_col, text_col), "sets")
-    checked = table(_verified(stars, sets), "star-links")
+    state = table(inside.join(needed.select("sig", "weight", "marks"), "sig").select("band", "sig", "weight", "marks", F.col("sig").alias("root")), "rooted")
     linked = F.col("shared") * 100 >= F.col("united") * PERCENT
-    first = table(components(checked.where(linked).select("a", "b")), "components")
-    # Buckets that still hold more than one component.
-    roots = inside.join(first, F.col("sig") == F.col("node"), "left").select("band", "sig", "least", F.coalesce("root", "sig").alias("root"))
-    roots = table(roots, "rooted")
-    mixed = table(roots.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band"), "mixed")
-    rest = roots.join(mixed, "band").join(checked.select(F.col("a").alias("sig"), F.col("b").alias("least"), (1 - F.col("shared") / F.col("united")).alias("far")), ["sig", "least"], "left")
-    rest = table(rest.select("band", "sig", "root", F.coalesce("far", F.lit(0.0)).alias("far")), "unsettled")
-    other = rest.select("band", F.col("sig").alias("b"), F.col("root").alias("other"), F.col("far").alias("far_b"))
-    slack = 1 - PERCENT / 100 + 1e-9
-    pairs = rest.join(other, "band").where((F.col("root") < F.col("other")) & (F.abs(F.col("far") - F.col("far_b")) <= slack)).select(F.col("sig").alias("a"), "b").distinct()
-    known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = table(_verified(pairs.join(known, ["a", "b"], "left_anti"), sets), "more-links")
-    final = components(first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.where(linked).select("a", "b")))
+    final = tested = open_pairs = None
+    for number in range(ROUNDS):
+        order = F.struct("weight", F.xxhash64("sig")) if number == 0 else F.struct(F.xxhash64("sig", F.lit(number)), F.xxhash64("sig"))
+        centres = table(state.groupBy("band").agg(F.max_by(F.struct("sig", "root", "marks"), order).alias("c")), "centres")
+        pairs = state.join(centres, "band").where((F.col("root") != F.col("c.root")) & (_differing("marks", "c.marks") < UNLIKE)).select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct()
+        checked = table(_verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets), "links")
+        tested = checked if tested is None else tested.unionByName(checked)
+        final = table(components(tested.where(linked).select("a", "b")), "components")
+        before = open_pairs
+        state, open_pairs, size = _unsettled(state, final)
+        if open_pairs <= size * SETTLED or open_pairs == before or number == ROUNDS - 1:
+            break
+        state = _reachable(state, sets).drop("n", "c")
+    state = _reachable(state, sets)
+    # Every pair of one bucket that is still in two components and has not been verified.
+    other = state.select("band", F.col("sig").alias("b"), F.col("root").alias("other"), F.col("marks").alias("other_marks"), F.col("n").alias("m"), F.col("c").alias("d"))
+    most = F.least("c", "d")
+    able = (F.col("root") < F.col("other")) & (most * 100 >= (F.col("n") + F.col("m") - most) * PERCENT) & (_differing("marks", "other_marks") < UNLIKE)
+    rest = state.select("band", "sig", "root", "marks", "n", "c").join(other, "band").where(able).select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct()
+    more = table(_verified(rest.join(tested, ["a", "b"], "left_anti"), sets).where(linked).select("a", "b"), "more-links")
+    if more.limit(1).count():
+        final = components(final.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     placed = classes.select("sig", "doc_id").join(final, F.col("sig") == F.col("node")).select("sig", "doc_id", "root")
     least = table(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     moved = table(placed.join(least, "root").select("sig", "component_id"), "placed")
