@@ -28,7 +28,8 @@ def order_cells(lineitem: DataFrame) -> DataFrame:
     whole = lambda n: F.col(n).cast("bigint").cast("string")
     kinds = F.array(whole("l_quantity"), F.concat(F.lit("$"), whole("l_extendedprice")), F.col("l_returnflag"), F.concat(F.lit("shipped on day "), F.date_format("l_shipdate", "dd"), F.lit(" of it.")))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return lineitem.select(F.col("l_orderkey").alias("grid"), (F.row_number().over(w) - 1).cast("bigint").alias("r"), F.posexplode(kinds).alias("c", "text"))
+    rows = lineitem.withColumn("r", (F.row_number().over(w) - 1).cast("bigint"))
+    return rows.select(F.col("l_orderkey").alias("grid"), "r", F.posexplode(kinds).alias("c", "text"))
 
 
 def dialogue_pages(conversations: DataFrame) -> DataFrame:
