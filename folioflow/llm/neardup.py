@@ -16,8 +16,6 @@ from .graph import components
 SHINGLE, PERCENT = 5, 75
 #: Coordinates of a sketch are BANDS * ROWS. A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS, ROWS = 32, 4
-#: Rounds in which buckets are tried with one centre each, and the open pairs a row of the open buckets that end them early.
-ROUNDS, SETTLED = 1, 2
 #: A pair is not verified if this many of its 128 coordinates, of which 4 bits are held, differ. At similarity 0.75 they
 #: differ with probability 0.234 each, so that many do with probability 4e-7.
 UNLIKE = 59
@@ -147,14 +145,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).cast("bigint").alias("united"))
 
 
-def _unsettled(state: DataFrame, final: DataFrame) -> tuple[DataFrame, int, int]:
-    """Rows (band, sig, weight, marks, root) of the buckets that still hold several components, the pairs across these, and the rows."""
-    now = state.select("band", "sig", "weight", "marks").join(final, F.col("sig") == F.col("node"), "left").select("band", "sig", "weight", "marks", F.coalesce("root", "sig").alias("root"))
-    now = table(now, "rooted")
-    sizes = now.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("roots")).where("roots > 1")
-    sizes = table(sizes, "mixed")
-    total = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("squares")), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    return table(now.join(sizes.select("band"), "band"), "unsettled"), total.pairs // 2, total.n
+def _unsettled(state: DataFrame, final: DataFrame) -> DataFrame:
+    """Rows (band, sig, marks, root) of the buckets that still hold several components."""
+    now = table(state.join(final, F.col("sig") == F.col("node"), "left").select("band", "sig", "marks", F.coalesce("root", "sig").alias("root")), "rooted")
+    mixed = now.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band")
+    return table(now.join(mixed, "band"), "unsettled")
 
 
 def _reachable(state: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,6 +165,41 @@ def _reachable(state: DataFrame, sets: DataFrame) -> DataFrame:
     return table(state.join(table(counts, "reach"), "sig"), "reachable")
 
 
+def _measured(state: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFrame:
+    """`state` with the centre of each row's bucket and `held`, the shingles shared with it; null if that pair was not verified."""
+    placed = state.join(centres.select("band", F.col("c.sig").alias("centre")), "band").withColumn("a", F.least("sig", "centre")).withColumn("b", F.greatest("sig", "centre"))
+    held = F.when(F.col("sig") == F.col("centre"), F.col("n")).otherwise(F.col("shared"))
+    return table(placed.join(tested.select("a", "b", "shared"), ["a", "b"], "left").select("band", "centre", "sig", "root", "marks", "n", "c", held.alias("held")), "measured")
+
+
+def _enough(shared: Column) -> Column:
+    """Whether sets of n and m shingles that share at most so many can be linked."""
+    return shared * 100 >= (F.col("n") + F.col("m") - shared) * PERCENT
+
+
+def _open_pairs(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket, of two components, that can still be linked.
+
+    With a bucket's centre z, sets x and y share at most min(|x & z|, |y & z|) shingles of z. Where that is not enough, they
+    must share a shingle that z has not, and such pairs are found by those shingles: two texts that were changed in different
+    places from the same original are never compared.
+    """
+    alike = (F.col("root") < F.col("other")) & (_differing("marks", "other_marks") < UNLIKE)
+    renamed = lambda df, *keys: df.select(*keys, F.col("sig").alias("b"), F.col("root").alias("other"), F.col("marks").alias("other_marks"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("held").alias("other_held"))
+    pair = (F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b"))
+    either = F.least("c", "d")
+    within = F.when(F.col("held").isNull() | F.col("other_held").isNull(), either).otherwise(F.least(either, "held", "other_held"))
+    inside = state.join(renamed(state, "band"), "band").where(alike & _enough(within)).select(*pair)
+    known = state.where("held IS NOT NULL").drop("band").distinct()
+    items = known.join(sets, "sig").join(sets.select(F.col("sig").alias("centre"), F.col("items").alias("own")), "centre")
+    extra = table(items.select("centre", "sig", "root", "marks", "n", "c", "held", F.explode(F.array_except("items", "own")).alias("item")), "extra")
+    common = table(extra.groupBy("centre", "item").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("centre", "item"), "extra-common")
+    extra = table(extra.join(common, ["centre", "item"]), "extra-shared")
+    most = F.least(either, F.least("held", "other_held") + F.least(F.col("n") - F.col("held"), F.col("m") - F.col("other_held")))
+    beside = extra.join(renamed(extra, "centre", "item"), ["centre", "item"]).where(alike & _enough(most)).select(*pair)
+    return inside.unionByName(beside).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: (doc_id, n_shingles, component_id, kept).
 
@@ -177,12 +207,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links reach, and a document is kept if that is its own. Null, empty and wordless texts have no shingles and stay alone.
     Rows that repeat get the same answer each. Of rows with a null doc_id, alone, component_id is null and kept true.
 
-    Documents with equal sets form one class, which is sketched once and never expanded. In a round, every class is verified
-    against one centre in each of its buckets, and components are formed; buckets that lie in one component are done. The first
-    centre is the class that meets the most others, later ones follow a hash. When few pairs of one bucket are left in
-    different components, or after ROUNDS, all of these that were not verified are. So the pairs inside a group of copies are
-    not expanded, and no link between components is lost; texts that share buckets without being similar are what is left. Of those,
-    a pair is verified only if the shingles that each side shares with other components at all, and their sketches, allow it.
+    Documents with equal sets form one class, which is sketched once and never expanded. Every class is verified against one
+    centre in each of its buckets, the class that meets the most others, and components are formed; buckets that lie in one
+    component are done. In the others, all pairs across components are verified that the counts of shared shingles and the
+    sketches allow (see _reachable and _open_pairs). So the pairs inside a group of copies are not expanded, and no link
+    between components is lost.
     """
     rows = table(sketches(docs, id_col, text_col), "sketches")
     classes = table(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
@@ -193,28 +222,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = inside.groupBy("sig").agg(F.sum("n").alias("weight"))
     needed = table(weights.join(classes.select("sig", "doc_id", "marks"), "sig"), "needed")
     sets = table(_sets(docs, needed, id_col, text_col), "sets")
-    state = table(inside.join(needed.select("sig", "weight", "marks"), "sig").select("band", "sig", "weight", "marks", F.col("sig").alias("root")), "rooted")
+    state = table(inside.join(needed.select("sig", "weight", "marks"), "sig").select("band", "sig", "weight", "marks"), "rooted")
     linked = F.col("shared") * 100 >= F.col("united") * PERCENT
-    final = tested = open_pairs = None
-    for number in range(ROUNDS):
-        order = F.struct("weight", F.xxhash64("sig")) if number == 0 else F.struct(F.xxhash64("sig", F.lit(number)), F.xxhash64("sig"))
-        centres = table(state.groupBy("band").agg(F.max_by(F.struct("sig", "root", "marks"), order).alias("c")), "centres")
-        pairs = state.join(centres, "band").where((F.col("root") != F.col("c.root")) & (_differing("marks", "c.marks") < UNLIKE)).select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct()
-        checked = table(_verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets), "links")
-        tested = checked if tested is None else tested.unionByName(checked)
-        final = table(components(tested.where(linked).select("a", "b")), "components")
-        before = open_pairs
-        state, open_pairs, size = _unsettled(state, final)
-        if open_pairs <= size * SETTLED or open_pairs == before or number == ROUNDS - 1:
-            break
-        state = _reachable(state, sets).drop("n", "c")
-    state = _reachable(state, sets)
-    # Every pair of one bucket that is still in two components and has not been verified.
-    other = state.select("band", F.col("sig").alias("b"), F.col("root").alias("other"), F.col("marks").alias("other_marks"), F.col("n").alias("m"), F.col("c").alias("d"))
-    most = F.least("c", "d")
-    able = (F.col("root") < F.col("other")) & (most * 100 >= (F.col("n") + F.col("m") - most) * PERCENT) & (_differing("marks", "other_marks") < UNLIKE)
-    rest = state.select("band", "sig", "root", "marks", "n", "c").join(other, "band").where(able).select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct()
-    more = table(_verified(rest.join(tested, ["a", "b"], "left_anti"), sets).where(linked).select("a", "b"), "more-links")
+    centres = table(state.groupBy("band").agg(F.max_by(F.struct("sig", "marks"), F.struct("weight", F.xxhash64("sig"))).alias("c")), "centres")
+    pairs = state.join(centres, "band").where((F.col("sig") != F.col("c.sig")) & (_differing("marks", "c.marks") < UNLIKE)).select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct()
+    tested = table(_verified(pairs, sets), "links")
+    final = table(components(tested.where(linked).select("a", "b")), "components")
+    state = _measured(_reachable(_unsettled(state, final), sets), centres, tested)
+    rest = _open_pairs(state, sets).join(tested, ["a", "b"], "left_anti")
+    more = table(_verified(rest, sets).where(linked).select("a", "b"), "more-links")
     if more.limit(1).count():
         final = components(final.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     placed = classes.select("sig", "doc_id").join(final, F.col("sig") == F.col("node")).select("sig", "doc_id", "root")
