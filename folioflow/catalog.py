@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import latex
 from .functions import text as T
-from .operators import grids, lines, store
+from .operators import fonts, grids, lines, store
 from .operators.islands import ordered
-from .sources import dialogue_pages, marked_lines, order_cells, read, stored_files
+from .sources import dialogue_pages, marked_lines, order_cells, printed_lines, read, stored_files
+from .streaming import latest_status as last_status
 
 FLAGSHIP = "doc_stats"
 
@@ -263,3 +265,51 @@ def export_entries(spark, d):
 @_query(f"WITH {_FILES} SELECT file_id, CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' WHEN size < 1048576 THEN printf('%.1f KB', round(size / 1024, 1)) ELSE printf('%.1f MB', round(size / 1048576, 1)) END AS shown FROM f")
 def file_sizes(spark, d):
     return stored_files(read(spark, d, "documents")).select("file_id", T.file_size(F.col("size")).alias("shown"))
+
+
+_PRINTED = """pl AS (
+  SELECT doc_id, line_no // 20 AS page_no, line_no, s AS text, 8 + (length(s) * 7 % 29) / 4 AS font_size, CAST(line_no * 12 - length(s) % 3 * 8 AS DOUBLE) AS y FROM l)"""
+
+
+@_query(f"""
+WITH {_LINES}, {_PRINTED}, z AS (SELECT doc_id, page_no, floor(font_size * 2 + 0.5) / 2 AS body, sum(length(text)) AS w, min(line_no) AS first FROM pl GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY w DESC, first) AS k FROM z)
+SELECT doc_id, CAST(page_no AS BIGINT) AS page_no, body, body * 1.5 AS h1, body * 1.25 AS h2, round(body * 1.1, 6) AS h3 FROM r WHERE k = 1""")
+def font_profiles(spark, d):
+    return fonts.font_profile(printed_lines(_docs(spark, d))).withColumn("h3", F.round("h3", 6))
+
+
+@_query(f"""
+WITH {_LINES}, {_PRINTED}, a AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS gap FROM pl)
+SELECT doc_id, CAST(page_no AS BIGINT) AS page_no, count(*) AS n_lines, round(CASE WHEN count(*) < 2 THEN 12.0 ELSE coalesce(avg(gap) FILTER (gap > 0), 1.2 * avg(font_size)) END, 6) AS height FROM a GROUP BY doc_id, page_no""")
+def block_line_heights(spark, d):
+    return fonts.line_heights(printed_lines(_docs(spark, d))).withColumn("height", F.round("height", 6))
+
+
+@_query(f"""
+WITH {_LINES}, c AS (SELECT doc_id, len(string_split(raw, '|')) AS n, count(*) AS w, min(line_no) AS first FROM m GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, first) AS k FROM c)
+SELECT doc_id, CAST(n AS INTEGER) AS n_cells, w AS weight FROM r WHERE k = 1""")
+def most_common_cell_counts(spark, d):
+    rows = marked_lines(_docs(spark, d)).withColumn("n", F.size(F.split("raw", r"\|")))
+    return fonts.first_seen_mode(rows, ["doc_id"], "n", "line_no", name="n_cells")
+
+
+def _latex_sql() -> str:
+    t = "translate(text, 'aeiostn', 'αε²₂≤√₄')"
+    for sign, (marks, plain) in (("^", latex.RAISED), ("_", latex.LOWERED)):
+        t = f"regexp_replace({t}, '([{marks}]+)', '{sign}{{\\1}}', 'g')"
+    t = f"translate(translate({t}, '{latex.RAISED[0]}', '{latex.RAISED[1]}'), '{latex.LOWERED[0]}', '{latex.LOWERED[1]}')"
+    for mark, command in latex.COMMANDS.items():
+        t = f"replace({t}, '{mark}', '{command} ')"
+    return f"SELECT doc_id, trim(regexp_replace({t}, '\\s+', ' ', 'g')) AS latex FROM documents"
+
+
+@_query(_latex_sql())
+def unicode_to_latex(spark, d):
+    return _docs(spark, d).select("doc_id", latex.to_latex(F.translate("text", "aeiostn", "αε²₂≤√₄")).alias("latex"))
+
+
+@_query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_events FROM events GROUP BY user_id")
+def latest_status(spark, d):
+    return last_status(read(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])

@@ -41,3 +41,10 @@ def stored_files(docs: DataFrame) -> DataFrame:
     """(file_id, project_id, name, size, status) of the documents."""
     status = F.when(F.col("doc_id") % 5 == 0, "pending").when(F.col("doc_id") % 7 == 0, "error").otherwise("completed")
     return docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("project_id"), F.concat(F.lit("file"), (F.col("doc_id") % 100).cast("string"), F.lit(".PDF")).alias("name"), F.col("n_chars").alias("size"), status.alias("status"))
+
+
+def printed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_no, text, font_size, y): lines of documents on pages of 20, with sizes and positions by length."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    n = F.length("text")
+    return lines.select("doc_id", F.floor(F.col("line_no") / 20).alias("page_no"), "line_no", "text", (8 + (n * 7 % 29) / 4).alias("font_size"), (F.col("line_no") * 12 - n % 3 * 8).cast("double").alias("y"))

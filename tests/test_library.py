@@ -3,8 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow import catalog
+from folioflow.functions import latex
 from folioflow.functions import text as T
-from folioflow.operators import lines, store
+from folioflow.operators import fonts, lines, store
+from folioflow.sources.sinks import write_markdown
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,6 +27,23 @@ def test_math(spark):
     assert value(spark, "x = 2 + 3", T.math_density) <= 0.1
 
 
+@pytest.mark.parametrize(("text", "want"), [("α", "\\alpha"), ("x²³ + y₁₀", "x^{23} + y_{10}"), ("a ≤\n b", "a \\leq b"), ("∫ x", "\\int x"), ("", ""), (None, None)])
+def test_latex(spark, text, want):
+    assert value(spark, text, latex.to_latex) == want
+
+
+def test_fonts(spark):
+    rows = [(1, 0, 0, "ab", 10.2, 0.0), (1, 0, 1, "cd", 14.0, 12.0), (1, 0, 2, None, None, 10.0), (2, 0, 0, "x", 0.0, 5.0)]
+    frame = spark.createDataFrame(rows, "doc_id int, page_no int, line_no int, text string, font_size double, y double")
+    assert {r.doc_id: r.body for r in fonts.font_profile(frame).collect()} == {1: 10.0, 2: 12.0}
+    assert {r.doc_id: r.height for r in fonts.line_heights(frame).collect()} == {1: 12.0, 2: 12.0}
+
+
+def test_markdown_sink(spark, tmp_path):
+    write_markdown(spark.createDataFrame([("a.PDF", "# é"), ("b", None)], "name string, markdown string"), str(tmp_path / "out"))
+    assert {r.entry: r.value for r in spark.read.text(str(tmp_path / "out")).collect()}["a.md"] == "# é"
+
+
 def test_bullets(spark):
     frame = spark.createDataFrame([(1, "•\nFirst item text"), (2, "• Complete item\n• Another item")], "doc_id int, text string")
     got = {r.doc_id: r.text for r in lines.merge_bullets(lines.lines_of(frame)).collect()}
