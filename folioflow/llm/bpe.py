@@ -8,17 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, texts
 
 #: Entries that one generation of each of a worker's two caches holds, and the longest key in characters. They bound
 #: memory only: what is not cached is merged anew.
-CACHED, CACHED_CHARS = 120_000, 48
+CACHED, CACHED_CHARS = 200_000, 48
 #: Bytes of pre-tokens that share one queue; a longer pre-token has a queue of its own.
 QUEUE_BYTES = 1 << 18
+#: Ranks below this are popped a whole bucket at a time with array operations, as their buckets are long.
+LOW_RANKS = 1200
 #: Ranks under one leaf of the bitmap, as a power of two.
 _LEAF = 8
 
@@ -102,6 +105,16 @@ class Codec:
         self.pairs = {self.ranks[t[:i]] * (self.size + 1) + self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.byte_pairs = np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
+        #: The same for pairs of tokens below `low` (0 if single bytes aren't all below it), the last row and column for the mark.
+        self.low = min(LOW_RANKS, self.size) if self.bytes.max() < LOW_RANKS else 0
+        self.low_pairs = np.full((self.low + 1, self.low + 1), -1, dtype=np.int32)
+        #: Tokens that can make a pair of lower rank than their own.
+        self.turns = set()
+        for key, rank in self.pairs.items():
+            a, b = divmod(key, self.size + 1)
+            if a < self.low and b < self.low:
+                self.low_pairs[a, b] = rank
+            self.turns.update(x for x in (a, b) if rank < x)
         tokens = [b""] * self.size
         for token, rank in self.ranks.items():
             tokens[rank] = token
@@ -111,8 +124,8 @@ class Codec:
         self.queue = RankQueue(self.size)
         self.pieces, self.words = Cache(), Cache()
 
-    def merge(self, items: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token: again and again its leftmost pair of lowest rank becomes one token.
+    def merge(self, items: list[bytes]) -> list[bytes]:
+        """Packed ids of each pre-token: again and again its leftmost pair of lowest rank becomes one token.
 
         All items stand in one linked list, ended by a mark that pairs with nothing, and share one rank queue. The queue
         gives ranks in rising order, so each item sees its own lowest rank first; a bucket's entry whose pair has changed
@@ -126,14 +139,13 @@ class Codec:
         tok_np[ends] = mark
         first = np.append(self.byte_pairs[data[:-1], data[1:]], -1)
         first[ends] = first[ends[ends > 0] - 1] = -1
-        tok, now = tok_np.tolist(), first.tolist()  # now: rank of the pair that starts here
-        after, before = list(range(1, n + 1)), list(range(-1, n))
         at = np.flatnonzero(first >= 0)
         at = at[np.argsort(first[at], kind="stable")]
         starts = np.flatnonzero(np.diff(first[at], prepend=-1))
         for rank, positions in zip(first[at[starts]].tolist(), np.split(at, starts[1:])):
             if len(at):
                 queue.push(rank, positions.tolist())
+        tok, now, after, before = self._merge_low(tok_np, first)  # now: rank of the pair that starts here
         tok.append(mark)
         buckets, push = queue.buckets, queue.push
         while queue.root:
@@ -166,21 +178,86 @@ class Codec:
                     break
         out = np.array(tok[:n], dtype=np.int32)
         out = out[out >= 0]
-        ends = np.flatnonzero(out == mark)
-        return [out[a:b] for a, b in zip(np.concatenate([[0], ends[:-1] + 1]), ends)]
-
-    def learn(self, pieces: list[str], spaced: bool) -> list[tuple[bytes, str]]:
-        """Values of pieces that the cache lacks: packed ids, and the ids joined by spaces."""
-        cut = [self.find(" " + x if spaced else x) for x in pieces]
-        words: dict[str, np.ndarray | None] = dict.fromkeys(x for found in cut for x in found)
-        missing = []
-        for x in words:
-            got = self.words.young.get(x)
-            words[x] = got = self.words.get(x) if got is None else got
-            if got is None:
-                missing.append(x)
+        ends = np.flatnonzero(out == mark).tolist()
+        flat = out.tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)]
+
+    def _merge_low(self, tok: np.ndarray, now: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Empty the queue's buckets of low rank, each at once, and give the linked list as lists.
+
+        Merges in one bucket don't depend on each other except for overlapping pairs, of which every other one of a run is
+        merged from its left end on, and for adjacent pairs whose token can make a pair of lower rank: these end this phase.
+        """
+        n, low, queue = len(tok), self.low, self.queue
+        if not low:
+            return tok.tolist(), now.tolist(), list(range(1, n + 1)), list(range(-1, n))
+        tok = np.append(np.where(tok == self.size, low, tok), low)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        while queue.root:
+            rank, bucket = queue.pop()
+            if rank >= low:
+                queue.push(rank, bucket)
+                break
+            at = np.array(bucket)
+            at = at[now[at] == rank]
+            if len(at) > 1:
+                at = at[np.append(True, at[1:] != at[:-1])]
+                joint = before[at[1:]] == at[:-1]
+                if joint.any():
+                    t = np.arange(len(at))
+                    start = np.maximum.accumulate(np.where(np.append(False, joint), 0, t))
+                    at = at[(t - start) % 2 == 0]
+                if rank in self.turns and (after[after[at[:-1]]] == at[1:]).any():
+                    queue.push(rank, bucket)
+                    break
+            nxt = after[at]
+            end = after[nxt]
+            after[at], before[end] = end, at
+            tok[at], tok[nxt], now[nxt] = rank, -1, -1
+            right = now[at] = self.low_pairs[rank, tok[end]]
+            prior = before[at]
+            prior, here = prior[prior >= 0], at[prior >= 0]
+            left = now[prior] = self.low_pairs[tok[prior], tok[here]]
+            where, ranks = np.concatenate([at, prior]), np.concatenate([right, left])
+            where, ranks = where[ranks >= 0], ranks[ranks >= 0]
+            order = np.argsort(ranks, kind="stable")
+            where, ranks = where[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+            heads, where = ranks[cuts].tolist(), where.tolist()
+            for head, a, b in zip(heads, cuts, [*cuts[1:], len(where)]):
+                queue.push(head, where[a:b])
+        return np.where(tok[:n] == low, self.size, tok[:n]).tolist(), now.tolist(), after.tolist(), before.tolist()
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pieces that the cache lacks, each with the space before it. A piece of letters is one pre-token."""
+        cut = [None if x.isalpha() else self.find(" " + x) for x in pieces]
+        words: dict[str, bytes | None] = {}
+        for x, found in zip(pieces, cut):
+            if found is None:
+                words[" " + x] = None
+            else:
+                for y in found:
+                    words[y] = self.pieces.get(y[1:]) if y[0] == " " else self.words.get(y)
+        self._merge_missing(words)
+        out = []
+        for x, found in zip(pieces, cut):
+            ids = words[" " + x] if found is None else b"".join([words[y] for y in found])
+            if len(x) <= CACHED_CHARS:
+                self.pieces.put(x, ids)
+            out.append(ids)
+        return out
+
+    def learn_heads(self, heads: list[str]) -> list[bytes]:
+        """Packed ids of the starts of texts, up to their first single space."""
+        cut = [self.find(x) for x in heads]
+        words = {y: self.words.get(y) for y in {y for found in cut for y in found}}
+        self._merge_missing(words)
+        return [b"".join([words[y] for y in found]) for found in cut]
+
+    def _merge_missing(self, words: dict[str, bytes | None]) -> None:
+        """Merge the keys without a value, as many at once as QUEUE_BYTES allows."""
         batch, size = [], 0
-        for x in missing:
+        for x in [x for x, ids in words.items() if ids is None]:
             if batch and size + len(x) > QUEUE_BYTES:
                 self._merge_into(batch, words)
                 batch, size = [], 0
@@ -188,32 +265,24 @@ class Codec:
             size += len(x)
         if batch:
             self._merge_into(batch, words)
-        out = []
-        for piece, found in zip(pieces, cut):
-            ids = b"".join([words[x] for x in found])
-            value = ids, " ".join(map(str, np.frombuffer(ids, dtype=np.int32).tolist()))
-            if spaced and len(piece) <= CACHED_CHARS:
-                self.pieces.put(piece, value)
-            out.append(value)
-        return out
 
-    def _merge_into(self, batch: list[str], words: dict) -> None:
+    def _merge_into(self, batch: list[str], words: dict[str, bytes | None]) -> None:
         for x, ids in zip(batch, self.merge([x.encode("utf-8") for x in batch])):
-            words[x] = ids.tobytes()
-            if len(x) <= CACHED_CHARS:
-                self.words.put(x, words[x])
+            words[x] = ids
+            if x[0] != " " and len(x) <= CACHED_CHARS:
+                self.words.put(x, ids)
 
-    def encode_all(self, batch: list[str]) -> list[tuple[np.ndarray, str]]:
-        """Ids and joined ids of each text."""
+    def encode_all(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, joined, and the n + 1 offsets of the texts in them."""
         cut, heads, wanted = [], [], {}
         young = self.pieces.young
         for text in batch:
             head, *rest = text.split(" ")
-            found = [young.get(x) for x in rest]
+            found = list(map(young.get, rest))
             if None in found:
                 if not all(rest) or any(x[0].isspace() for x, y in zip(rest, found) if y is None):
                     head, *rest = self.split(text)
-                    found = [young.get(x) for x in rest]
+                    found = list(map(young.get, rest))
                 for i, y in enumerate(found):
                     if y is None:
                         found[i] = self.pieces.get(rest[i])
@@ -223,13 +292,11 @@ class Codec:
             heads.append(head)
             cut.append((rest, found))
         if wanted:
-            wanted = dict(zip(wanted, self.learn(list(wanted), True)))
+            wanted = dict(zip(wanted, self.learn(list(wanted))))
         out = []
-        for head, (rest, found) in zip(self.learn(heads, False), cut):
-            values = [head, *[wanted[x] if y is None else y for x, y in zip(rest, found)]] if None in found else [head, *found]
-            ids = np.frombuffer(b"".join([x[0] for x in values]), dtype=np.int32)
-            out.append((ids, " ".join([x[1] for x in values] if head[1] else [x[1] for x in values[1:]])))
-        return out
+        for head, (rest, found) in zip(self.learn_heads(heads), cut):
+            out.append(b"".join([head, *[wanted[x] if y is None else y for x, y in zip(rest, found)]] if None in found else [head, *found]))
+        return np.frombuffer(b"".join(out), dtype=np.int32), np.cumsum([0, *(len(x) >> 2 for x in out)])
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -265,17 +332,16 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         own = codec(blob.value, pattern)
         for batch in batches:
             for part in slices(batch, 1):
-                counts, digests, decoded, lists = [], [], [], []
-                for got, joined in own.encode_all([text or "" for text in part.column(1).to_pylist()]):
-                    counts.append(len(got))
-                    digests.append(hashlib.sha256(joined.encode("ascii")).hexdigest())
-                    decoded.append(hashlib.sha256(own.decode(got)).hexdigest())
-                    if ids:
-                        lists.append(got)
-                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                got, at = own.encode_all([text or "" for text in part.column(1).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got))
+                joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pc.cast(lists.values, pa.string())), " ")
+                ends = np.concatenate([[0], np.cumsum(own.lengths[got])])[at].tolist()
+                data = memoryview(own.decode(got))
+                digests = [hashlib.sha256(x).hexdigest() for x in texts(joined)]
+                decoded = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+                columns = [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 if ids:
-                    ends = np.concatenate([[0], np.cumsum(counts)])
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists).astype(np.int32))))
+                    columns.append(lists)
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, schema)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -96,3 +97,17 @@ def test_chat(spark):
     a, b = map(int, got["ann"].mask.split(":"))
     text = got["ann"].rendered
     assert text[a:b] == "hi < |im_end|><|im_end|>" and "user name=bob" in text and len(got) == 2
+
+
+def test_bpe_codec_equals_tiktoken_on_repetitive_texts():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, bpe.read_ranks(PATH).splitlines())}
+    like = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(5)
+    some = [""] + ["".join(draw.choices(alphabet, k=draw.randrange(1, 400))) for alphabet in ("a", "ab ", "the inar", "an'sredl \n", "=-_ ", "0123 .", "éñ ß日本 a", " \t\n x") for _ in range(40)] + ["na" * 5000, " " * 3000 + "x", "erer" * 700 + "!"]
+    for low in (bpe.LOW_RANKS, 0):
+        own = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+        own.low = min(own.low, low)
+        for _ in range(2):
+            ids, at = own.encode_all(some)
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [like.encode_ordinary(x) for x in some]
+            assert own.decode(ids) == "".join(some).encode()
