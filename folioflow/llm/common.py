@@ -98,11 +98,11 @@ _LOWER_CODES = _BYTE_CODES[LOWER]
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 12, 1 << (n - 1).bit_length())
+        size = max(1 << 12, 1 << (n - 1).bit_length()) if n <= SLICE_BYTES // 4 else n
         have = np.ones(size, dtype=np.uint64)
         have[1:] = np.uint64(base)
         have = np.multiply.accumulate(have)
-        if size <= 4 * SLICE_BYTES:
+        if size <= SLICE_BYTES // 4:
             _powers[base] = have
     return have[:n]
 

@@ -14,6 +14,8 @@ from .graph import components
 
 #: Words of a shingle; similarity as a percentage.
 SHINGLE, PERCENT = 5, 75
+#: Text bytes hashed at once; a longer text is hashed alone. Hashing takes some 40 bytes for each.
+HASHED_BYTES = 1 << 19
 #: Coordinates of a sketch are BANDS * ROWS. A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS, ROWS = 32, 4
 #: A pair is not verified if this many of its 128 coordinates, of which 4 bits are held, differ. At similarity 0.75 they
@@ -116,7 +118,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         sig = pa.array([s if f else None for s, f in zip(_signatures(items, at), full)], pa.binary())
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), sig, *lists], ["doc_id", "n_shingles", "sig", "bands", "marks"])
 
-    return run_in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, f"doc_id {key}, n_shingles bigint, sig binary, bands array<bigint>, marks array<bigint>", 1)
+    return run_in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, f"doc_id {key}, n_shingles bigint, sig binary, bands array<bigint>, marks array<bigint>", 1, HASHED_BYTES)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,7 +127,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(may_hold(places.value, batch.column(0))), 1):
+            for part in slices(batch.filter(may_hold(places.value, batch.column(0))), 1, HASHED_BYTES):
                 items, at = shingles(*utf8(part.column(1)))
                 full = np.diff(at) > 0
                 sig = pa.array(_signatures(items, at), pa.binary()).filter(pa.array(full))
