@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import give_back, slices, texts
 
 #: Entries that one generation of each of a worker's two caches holds, and the longest key in characters. They bound
 #: memory only: what is not cached is merged anew.
@@ -343,6 +343,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 if ids:
                     columns.append(lists)
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -138,6 +139,14 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Return freed memory of a finished task to the system: its worker process lives on beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def run_in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: int = 0, limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with batches cut by `slices`; `each` may return None for no rows."""
 
@@ -147,6 +156,7 @@ def run_in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch
                 out = each(part)
                 if out is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(go, schema)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, may_hold, mix, run_in_arrow, slices, table, utf8, windows, words
+from .common import give_back, id_filter, may_hold, mix, run_in_arrow, slices, table, utf8, windows, words
 from .graph import components
 
 #: Words of a shingle; similarity as a percentage.
@@ -133,6 +133,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 sig = pa.array(_signatures(items, at), pa.binary()).filter(pa.array(full))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], at[1:][full]]), pa.int32()), pa.array(items.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(full)), sig, lists], ["doc_id", "sig", "items"])
+        give_back()
 
     found = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, "doc_id string, sig binary, items array<bigint>")
     named = wanted.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "sig")
