@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import give_back, texts
 
 #: Words, over UTF-8 bytes after A-Z are lower-cased.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -141,6 +141,7 @@ def _pass(shared, size: int, spans: bool, last: bool):
                 yield pa.RecordBatch.from_arrays(columns + rest, names + named)
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out["hits"], pa.list_(pa.int32())), pa.array(out["items"], pa.list_(pa.string())), n_words, *rest], ["doc_id", "text", "hits", "items", "n_words", *named])
+        give_back()
 
     return go
 

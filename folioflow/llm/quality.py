@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, run_in_arrow, slices, utf8, windows, words
+from .common import SPACES, give_back, run_in_arrow, slices, utf8, windows, words
 
 #: Bytes of an n-gram, and the power of two of the hashed buckets that both multinomials share.
 GRAM, BUCKET_BITS = 4, 16
@@ -78,6 +78,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
                     target += np.bincount(keys[np.repeat(mine, np.diff(at))], minlength=len(target))
         full = np.flatnonzero(raw_counts)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(raw_counts[full]), pa.array(target[full])], ["bucket", "n", "t"])
+        give_back()
 
     counted = docs.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(count, "bucket bigint, n bigint, t bigint")
     rows = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
