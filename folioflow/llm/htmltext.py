@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-#: A subtree is a template if at least this share of a host's pages, and at least so many, have it. Pages with the same
-#: longest block count once, so mirrored articles don't make their own text a template.
+#: A subtree of little text is a template if at least this share of a host's pages, and at least so many, have it. Pages whose
+#: undropped texts differ in digits at most count once, so mirrored articles don't make their own text a template.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.6, 5
+#: A subtree of so many characters, which don't recur by chance, is one on so many pages, or on this share of a smaller host's.
+LONG_CHARS, MANY_PAGES, LOW_SHARE = 24, 50, 0.05
 #: Template subtrees that may be broadcast (a few bytes each); with more, pages and templates are joined by host.
 BROADCAST_ROWS = 100_000
 
@@ -32,6 +34,7 @@ _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 _BARRIER = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_DIGITS = re.compile(r"\d+")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
@@ -43,6 +46,7 @@ class Node:
     dropped: bool
     parts: list = field(default_factory=list)
     hash: int = 0
+    size: int = 0
 
 
 def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -126,28 +130,26 @@ def parse(source: str) -> Node:
 
 
 def _seal(node: Node) -> None:
-    """Give a finished node the hash of its subtree: tag, white-space-folded texts and the parts' hashes."""
+    """Give a finished node the hash of its subtree (tag, white-space-folded texts and the parts' hashes) and its text's size."""
+    node.size = sum(p.size if isinstance(p, Node) else len(p.strip()) for p in node.parts)
     node.hash = xxhash.xxh3_64_intdigest("\x01".join([node.tag, *[f"\x02{p.hash}" if isinstance(p, Node) else " ".join(p.split()) for p in node.parts]])) >> 1
 
 
-def subtrees(root: Node) -> tuple[set[int], int]:
-    """Hashes of all subtrees with text below the body, and the hash of the longest text that no rule drops."""
-    found, longest, content = set(), 0, root.hash
+def subtrees(root: Node) -> tuple[dict[int, bool], int]:
+    """Hashes of all subtrees below the body, with whether they have LONG_CHARS, and the hash of all texts that no rule drops, without digits."""
+    found, kept = {}, []
     todo = [(root, False)]
     while todo:
         node, gone = todo.pop()
         gone = gone or node.dropped
-        size = 0
         for p in node.parts:
             if isinstance(p, Node):
                 todo.append((p, gone))
-            else:
-                size += len(p.strip())
+            elif not gone:
+                kept.append(p)
         if node.tag not in ("", "html", "body", "hr", "br"):
-            found.add(node.hash)
-        if not gone and size > longest:
-            longest, content = size, node.hash
-    return found, content
+            found[node.hash] = node.size >= LONG_CHARS
+    return found, xxhash.xxh3_64_intdigest(_DIGITS.sub("", "\x01".join(" ".join(t) for p in kept if (t := p.split())))) >> 1
 
 
 def article(root: Node, templates: frozenset[int] | set[int]) -> str:
@@ -196,23 +198,23 @@ def host(url: Column) -> Column:
 def templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
     """(host, hash) of the subtrees that recur across a host's pages, from a frame (host, html) of pages with a host.
 
-    Pages count once for each distinct longest block. Subtrees are made distinct in each task before they are shuffled and
+    Pages count once for each distinct text outside dropped elements. Subtrees are made distinct in each task before they are shuffled and
     counted with partial aggregates, so a host with a third of the pages gathers counts, not pages, in a task.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                rows: set[tuple[str, int, int]] = set()
+                rows: set[tuple[str, int, int, bool]] = set()
                 for name, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found, content = subtrees(parse(source))
-                    rows.update((name, content, h) for h in found)
-                    rows.add((name, content, -1))
+                    rows.update((name, content, h, long) for h, long in found.items())
+                    rows.add((name, content, -1, False))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], ["host", "content", "hash"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_()))], ["host", "content", "hash", "long"])
 
-    each = pages.mapInArrow(go, "host string, content bigint, hash bigint").distinct()
-    counts = table(each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least), "subtrees")
+    each = pages.mapInArrow(go, "host string, content bigint, hash bigint, long boolean").distinct()
+    counts = table(each.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("long").alias("long")).where(F.col("n") >= least), "subtrees")
     totals = counts.where("hash = -1").select("host", F.col("n").alias("pages"))
     return counts.where("hash <> -1").join(totals, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
 
@@ -223,8 +225,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     `text` has the article's blocks in page order, one a line: without elements that are never article text (by tag, role or
     class) and without subtrees recurring across many pages of the page's host. Character references are decoded, white space
     in a block is one space. Null or empty html gives an empty text; a page without a host has no templates; repeated rows and
-    null ids pass through. Template subtrees of a host are at most 1 / `share` times a page's subtrees, so a host's list is
-    short; all lists are broadcast if they are `broadcast_rows` rows at most, and joined by host otherwise.
+    null ids pass through. Template subtrees of a host are at most pages / MANY_PAGES or 1 / LOW_SHARE times a page's subtrees;
+    all lists are broadcast if they are `broadcast_rows` rows at most, and joined by host otherwise.
     """
     spark = pages.sparkSession
     key = pages.schema[id_col].dataType.simpleString()

@@ -111,6 +111,26 @@ def test_html(spark):
     assert {r.page_id: r.text for r in htmltext.extract(frame).collect()} == {1: "T&t\nOne two\nThree", 2: ""}
 
 
+def pages_of(spark, bodies):
+    frame = spark.createDataFrame([(i, f"http://a.b/{i}", f"<body>{b}</body>") for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    return [r.text for r in htmltext.extract(frame).orderBy("page_id").collect()]
+
+
+def _word(i):
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+def test_html_template_that_is_the_longest_block(spark):
+    notice = "<div><p>" + "all rights of this site are reserved " * 5 + "</p></div>"
+    assert pages_of(spark, [f"<p>text of page {_word(i)}</p>{notice}" for i in range(10)]) == [f"text of page {_word(i)}" for i in range(10)]
+
+
+def test_html_mirrored_article_stays(spark):
+    own = "<p>one article that has many mirrors on the host</p>"
+    got = pages_of(spark, [f"{own}<p>{i}</p>" for i in range(10)] + [f"<p>other page {_word(i)}</p>" for i in range(3)])
+    assert all(t.startswith("one article that has many mirrors") for t in got[:10])
+
+
 def test_warc(spark):
     frame = spark.createDataFrame([(2, "http://a/", "same"), (1, "http://b/", "same"), (3, None, None)], "page_id bigint, url string, html string")
     got = {r.page_id: r for r in warc.round_trip(frame).collect()}
