@@ -216,7 +216,8 @@ def templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMP
     each = pages.mapInArrow(go, "host string, content bigint, hash bigint, long boolean").distinct()
     counts = table(each.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("long").alias("long")).where(F.col("n") >= least), "subtrees")
     totals = counts.where("hash = -1").select("host", F.col("n").alias("pages"))
-    return counts.where("hash <> -1").join(totals, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    enough = F.when(F.col("long"), F.least(F.lit(float(MANY_PAGES)), LOW_SHARE * F.col("pages"))).otherwise(share * F.col("pages"))
+    return counts.where("hash <> -1").join(totals, "host").where(F.col("n") >= F.least(enough, share * F.col("pages"))).select("host", "hash")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -131,6 +131,11 @@ def test_html_mirrored_article_stays(spark):
     assert all(t.startswith("one article that has many mirrors") for t in got[:10])
 
 
+def test_html_host_with_two_layouts(spark):
+    menus = ["<div><p>first layout with its own long menu</p></div>", "<div><p>second layout with its own long menu</p></div>"]
+    assert pages_of(spark, [f"{menus[i % 2]}<p>text of page {_word(i)}</p>" for i in range(20)]) == [f"text of page {_word(i)}" for i in range(20)]
+
+
 def test_warc(spark):
     frame = spark.createDataFrame([(2, "http://a/", "same"), (1, "http://b/", "same"), (3, None, None)], "page_id bigint, url string, html string")
     got = {r.page_id: r for r in warc.round_trip(frame).collect()}
