@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, run_in_arrow, utf8, words
@@ -14,10 +14,11 @@ from .common import mix, run_in_arrow, utf8, words
 #: Longest n-gram in characters.
 ORDER = 5
 #: Bounds of the labelled sample: documents a language (as expected; chosen by a hash of the id), and word types of all
-#: languages together, most frequent first. They bound the model; every document is scored whole.
+#: languages together, dealt to the languages in turn, most frequent first, so that a small one keeps all it has. They bound
+#: the model; every document is scored whole.
 SAMPLE_DOCS, SAMPLE_TYPES = 3000, 300_000
-#: A language needs this many labelled documents; at most MAX_LANGS languages are learned, most frequent first.
-MIN_DOCS, MAX_LANGS = 5, 200
+#: A language with fewer labelled documents spares none for calibration; at most MAX_LANGS languages are learned, most frequent first.
+TUNE_DOCS, MAX_LANGS = 50, 200
 #: A longer run of letters is scored in pieces of this many characters.
 WORD_CHARS = 64
 
@@ -200,14 +201,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     frame = docs.select(F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("pick"), F.col(text_col).cast("string").alias("text"), F.col(id_col).isNotNull().alias("named"))
     frame = frame.where(F.col("named") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in frame.groupBy("lang").count().where(F.col("count") >= MIN_DOCS).orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r.lang: r["count"] for r in frame.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
         return Model([])
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 30, max(1, (sample_docs << 30) // n)))])
     sample = frame.where(F.col("lang").isin(*sizes)).where(F.col("pick") < F.element_at(share, F.col("lang")))
-    clean = sample.select("lang", letters(F.col("text")).alias("text"), (F.pmod(F.xxhash64("pick"), F.lit(10)) == 0).alias("tune"))
-    counted = clean.where("not tune").select("lang", F.explode(F.split("text", " ")).alias("word")).where("word <> ''").select("lang", F.substring("word", 1, WORD_CHARS).alias("word")).groupBy("lang", "word").count()
-    rows = counted.orderBy(F.desc("count"), "lang", "word").limit(sample_types).toArrow()
+    clean = sample.select("lang", letters(F.col("text")).alias("text"), ((F.pmod(F.xxhash64("pick"), F.lit(10)) == 0) & F.col("lang").isin([x for x, n in sizes.items() if n >= TUNE_DOCS])).alias("tune"))
+    pieces = F.expr(f"transform(sequence(1, length(word), {WORD_CHARS}), i -> substring(word, i, {WORD_CHARS}))")
+    counted = clean.where("not tune").select("lang", F.explode(F.split("text", " ")).alias("word")).where("word <> ''").select("lang", F.explode(pieces).alias("word")).groupBy("lang", "word").count()
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word")))
+    rows = ranked.orderBy("rank", "lang").limit(sample_types).toArrow()
     by_lang: dict[str, tuple[list[str], list[int]]] = {}
     for lang, word, n in zip(*[rows.column(c).to_pylist() for c in ("lang", "word", "count")]):
         items, tokens = by_lang.setdefault(lang, ([], []))

@@ -55,6 +55,19 @@ def test_language(spark):
     assert got[998].lang_pred == got[999].lang_pred == "und" and got[999].score == 0
 
 
+def test_language_with_few_documents(spark):
+    rows = [(i, " ".join(f"{_word(i)}x{_word(j)}" for j in range(20)) + " the the", "aa") for i in range(60)] + [(100 + i, f"der fuchs {_word(i)}", "zz") for i in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_types=40)
+    assert model.langs == ["aa", "zz"]
+
+
+def test_language_of_long_runs(spark):
+    rows = [(i, "a" * 64 + "bcdfg" * 12, "aa") for i in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    scores, _ = langid.score_words(model, ["bcdfg" * 12])
+    assert scores[0, 0] > 61 * model.floor
+
+
 def test_near_duplicates(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(10, base), (11, base.upper()), (12, base + " more"), (13, "a b"), (14, "A  b"), (15, None), (16, " ".join(f"z{i}" for i in range(60)))]
