@@ -86,7 +86,7 @@ def test_passages(spark):
 def test_passages_owned_piecemeal_by_earlier_documents(spark):
     shared = [f"p{i}" for i in range(60)]
     own = lambda k: [f"d{k}_{i}" for i in range(10)]
-    rows = [(1, " ".join([*own(1), *shared[:30]])), (2, " ".join([*own(2), *shared[30:]])), (3, " ".join([*own(3), *shared])), (4, " ".join([*own(4), *shared]))]
+    rows = [(1, " ".join([*own(1), *shared[:32]])), (2, " ".join([*own(2), *shared[28:]])), (3, " ".join([*own(3), *shared])), (4, " ".join([*own(4), *shared]))]
     got = substring.passages(docs(spark, rows)).collect()
     assert [(r.doc_id, r.ref_doc_id, r.start_word, r.end_word, r.n_matched) for r in got] == [(4, 3, 10, 70, 60)]
 
