@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes handled at once inside a Python worker; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of
+    our own; on a cluster that is an error, since no local folder is shared there."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints/folioflow"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,7 +38,66 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `table` that nothing will read again: all that was made of them has been written."""
+    for df in tables:
+        _delete(df.sparkSession, df._folio_path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables and archives that this application has left in the shared folder, once its results are written."""
+    _delete(spark, f"{shared_dir(spark)}/folioflow/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+# Rows that an operator carries along: its text column as `text`, and all other columns but the id as one struct `row`, so that
+# no name of theirs can clash with the operator's own columns.
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    return F.struct(*[F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate(rest)], F.lit(True).alias("there")).alias("row")
+
+
+def restored(result: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", change: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """The rows as they were before `carried`, with the columns in their order; `change` makes a new column of an old one."""
+    rest = [c for c in columns if c not in (id_col, text_col)]
+    own = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)} | {id_col: F.col("doc_id"), text_col: F.col("text")}
+    return result.select(*[(change or {}).get(c, lambda old: old)(own[c]).alias(c) for c in columns])
+
+
+def schema_of(frame: DataFrame, own: str, last: tuple[str, ...] = (), first: str = "doc_id") -> StructType:
+    """The frame's column `first`, the operator's own columns (as DDL), and the frame's columns `last`."""
+    out = StructType([frame.schema[first]])
+    for field in [*StructType.fromDDL(own), *[frame.schema[c] for c in last]]:
+        out.add(field)
+    return out
+
+
+_resident: dict[Hashable, Any] = {}
+
+
+def resident(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks: one thing of one operator, so that a pipeline's stages don't add up."""
+    if key not in _resident:
+        _resident.clear()
+        _powers.clear()
+        give_back()
+        _resident[key] = build()
+    return _resident[key]
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -108,6 +173,14 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the byte runs from `starts` to `ends`."""
+    n = len(raw)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((_LOWER_CODES if lower else _BYTE_CODES)[raw] * _power(_BASE, n), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of many texts at once: byte starts, byte ends, 64-bit hashes, and the n + 1 word offsets of the texts."""
     n = len(raw)
@@ -121,10 +194,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.
     first[1:] &= ~inside[:-1] | cut[1:n]
     last[:-1] &= ~inside[1:] | cut[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER_CODES if lower else _BYTE_CODES)[raw] * _power(_BASE, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return starts, ends, hashed(raw, starts, ends, lower), np.searchsorted(starts, offsets)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -147,7 +217,7 @@ def give_back() -> None:
         trim(0)
 
 
-def run_in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: int = 0, limit: int = SLICE_BYTES) -> DataFrame:
+def run_in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, column: int = 0, limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with batches cut by `slices`; `each` may return None for no rows."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,32 +231,28 @@ def run_in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(go, schema)
 
 
-#: Bits of an id filter, as a power of two; its size does not depend on the data.
-FILTER_BITS = 22
+#: Bits of an id filter; its size does not depend on the data.
+FILTER_BITS = 1 << 24
 
 
-def _places(ids: pa.Array) -> np.ndarray:
-    _, _, hashes, at = words(*utf8(ids), breaks=np.zeros(256, dtype=bool))
-    out = np.zeros(len(ids), dtype=np.int64)
-    out[np.diff(at) > 0] = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return out
-
+def filter_place(id_col: str) -> Column:
+    """The bit of an id in a filter, from 1 on."""
+    return (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(FILTER_BITS)) + 1).cast("bigint")
 
-def id_filter(ids: DataFrame) -> bytes:
-    """A bitmap of fixed size with a place set for each id (one string column). Each task makes one; the driver joins them one by one."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches:
-            bits[_places(batch.column(0))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
-    out = np.zeros(1 << FILTER_BITS >> 3, dtype=np.uint8)
-    for row in ids.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row.bits, dtype=np.uint8)
+def id_filter(ids: DataFrame, id_col: str) -> bytes:
+    """A bitmap of FILTER_BITS with the place of each id set. It is made by partial aggregates; the driver gets its pieces."""
+    place = filter_place(id_col)
+    pieces = ids.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
+    for row in pieces.collect():
+        own = np.frombuffer(row.bits, dtype=np.uint8)
+        at = (row.piece - 1) * 4096
+        out[at : at + len(own)] |= own[: len(out) - at]
     return out.tobytes()
 
 
-def may_hold(bits: bytes, ids: pa.Array) -> pa.Array:
-    """Which ids may be in the filter: all that are, and few others unless it is full."""
-    return pa.array(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).view(bool)[_places(ids)])
+def may_hold(bits: bytes, places: pa.Array) -> pa.Array:
+    """Which places are set in the filter: those of all ids in it, and few others unless it is full."""
+    at = places.to_numpy().astype(np.int64) - 1
+    return pa.array((np.frombuffer(bits, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool))

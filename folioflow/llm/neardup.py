@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, id_filter, may_hold, mix, run_in_arrow, slices, table, utf8, windows, words
+from .common import discard, filter_place, give_back, id_filter, may_hold, mix, run_in_arrow, slices, table, utf8, windows, words
 from .graph import components
 
 #: Words of a shingle; similarity as a percentage.
@@ -123,11 +123,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(sig, items) of the classes in `wanted` (doc_id, sig): whole shingle sets, read again from the texts of one document each."""
-    places = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    places = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(may_hold(places.value, batch.column(0))), 1, HASHED_BYTES):
+            for part in slices(batch.filter(may_hold(places.value, batch.column(2))), 1, HASHED_BYTES):
                 items, at = shingles(*utf8(part.column(1)))
                 full = np.diff(at) > 0
                 sig = pa.array(_signatures(items, at), pa.binary()).filter(pa.array(full))
@@ -135,7 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(full)), sig, lists], ["doc_id", "sig", "items"])
         give_back()
 
-    found = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, "doc_id string, sig binary, items array<bigint>")
+    found = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc_id"), F.col(text_col).cast("string").alias("text"), filter_place(id_col)).mapInArrow(go, "doc_id string, sig binary, items array<bigint>")
     named = wanted.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "sig")
     return found.join(named, ["doc_id", "sig"]).dropDuplicates(["sig"]).select("sig", "items")
 
@@ -152,7 +152,9 @@ def _unsettled(state: DataFrame, final: DataFrame) -> DataFrame:
     """Rows (band, sig, marks, root) of the buckets that still hold several components."""
     now = table(state.join(final, F.col("sig") == F.col("node"), "left").select("band", "sig", "marks", F.coalesce("root", "sig").alias("root")), "rooted")
     mixed = now.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band")
-    return table(now.join(mixed, "band"), "unsettled")
+    out = table(now.join(mixed, "band"), "unsettled")
+    discard(now)
+    return out
 
 
 def _reachable(state: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,7 +167,10 @@ def _reachable(state: DataFrame, sets: DataFrame) -> DataFrame:
     each = table(state.select("sig", "root").distinct().join(sets, "sig").select("sig", "root", F.size("items").alias("n"), F.explode("items").alias("item")), "open-items")
     common = table(each.groupBy("item").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("item"), "common")
     counts = each.join(common, "item").groupBy("sig").agg(F.max("n").alias("n"), F.count("*").alias("c")).where(F.col("c") * 100 >= F.col("n") * PERCENT)
-    return table(state.join(table(counts, "reach"), "sig"), "reachable")
+    reach = table(counts, "reach")
+    out = table(state.join(reach, "sig"), "reachable")
+    discard(each, common, reach)
+    return out
 
 
 def _measured(state: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFrame:
@@ -225,22 +230,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = inside.groupBy("sig").agg(F.sum("n").alias("weight"))
     needed = table(weights.join(classes.select("sig", "doc_id", "marks"), "sig"), "needed")
     sets = table(_sets(docs, needed, id_col, text_col), "sets")
-    state = table(inside.join(needed.select("sig", "weight", "marks"), "sig").select("band", "sig", "weight", "marks"), "rooted")
+    members_of = table(inside.join(needed.select("sig", "weight", "marks"), "sig").select("band", "sig", "weight", "marks"), "members")
+    discard(shared, inside, needed)
     linked = F.col("shared") * 100 >= F.col("united") * PERCENT
-    centres = table(state.groupBy("band").agg(F.max_by(F.struct("sig", "marks"), F.struct("weight", F.xxhash64("sig"))).alias("c")), "centres")
-    pairs = state.join(centres, "band").where((F.col("sig") != F.col("c.sig")) & (_differing("marks", "c.marks") < UNLIKE)).select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct()
+    centres = table(members_of.groupBy("band").agg(F.max_by(F.struct("sig", "marks"), F.struct("weight", F.xxhash64("sig"))).alias("c")), "centres")
+    pairs = members_of.join(centres, "band").where((F.col("sig") != F.col("c.sig")) & (_differing("marks", "c.marks") < UNLIKE)).select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct()
     tested = table(_verified(pairs, sets), "links")
     final = table(components(tested.where(linked).select("a", "b")), "components")
-    state = _measured(_reachable(_unsettled(state, final), sets), centres, tested)
+    unsettled = _unsettled(members_of, final)
+    discard(members_of)
+    reachable = _reachable(unsettled, sets)
+    state = _measured(reachable, centres, tested)
+    discard(unsettled, reachable, centres)
     rest = _open_pairs(state, sets).join(tested, ["a", "b"], "left_anti")
     more = table(_verified(rest, sets).where(linked).select("a", "b"), "more-links")
+    discard(sets, state, tested)
     if more.limit(1).count():
         final = components(final.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    placed = classes.select("sig", "doc_id").join(final, F.col("sig") == F.col("node")).select("sig", "doc_id", "root")
+    placed = table(classes.select("sig", "doc_id").join(final, F.col("sig") == F.col("node")).select("sig", "doc_id", "root"), "placed")
     least = table(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    moved = table(placed.join(least, "root").select("sig", "component_id"), "placed")
+    moved = placed.join(least, "root").select("sig", "component_id")
     answer = classes.select("sig", "doc_id").join(moved, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
     answer = table(answer, "answer")
+    discard(classes, placed, least)
     full = rows.select("doc_id", "n_shingles", "sig").join(answer, "sig", "left")
     alone = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return full.select("doc_id", "n_shingles", alone.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
