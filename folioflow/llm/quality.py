@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, give_back, run_in_arrow, slices, utf8, windows, words
+from .common import SPACES, carried, filter_place, give_back, id_filter, may_hold, run_in_arrow, schema_of, slices, utf8, windows, words
 
 #: Bytes of an n-gram, and the power of two of the hashed buckets that both multinomials share.
 GRAM, BUCKET_BITS = 4, 16
-#: Most trusted documents that the target multinomial is fitted on; the raw multinomial always counts every document.
-TRUSTED_DOCS = 20_000
 #: Mean log-ratio below which a document is rejected, and the n-grams of ratio 0 that each text gets in advance,
 #: so that a few odd n-grams don't decide about a very short text.
 THRESHOLD, PRIOR_GRAMS = -0.35, 50
@@ -54,43 +52,50 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratio:
-    """Count n-grams of all whole texts, and of those whose id is in `trusted`, into hashed buckets.
+    """Count n-grams of all whole texts, and of all those whose id is in `trusted`, into hashed buckets.
 
-    `trusted` has a column doc_id; at most TRUSTED_DOCS of its ids, lowest hash first, are used (they are broadcast). Counts are
-    added up in each task and then by bucket, so what is shuffled is 2^BUCKET_BITS rows a task at most, and as many reach the
-    driver. Both multinomials get the same mass and one more of each bucket: log((t + 1) / (r + 1)) with r scaled to t's total.
-    Null texts and ids count for nothing. Without trusted text all ratios are 0.
+    `trusted` has a column doc_id; its repeated and null ids count for nothing. A bitmap of its ids, of fixed size, spares most
+    other texts the exact join by id. Counts are added up in each task and then by bucket, so what is shuffled of them is
+    2^BUCKET_BITS rows a task at most, and as many reach the driver. Both multinomials get the same mass and one more of each
+    bucket: log((t + 1) / (r + 1)) with r scaled to t's total. Null texts count for nothing. Without trusted text all ratios
+    are 0.
     """
     spark = docs.sparkSession
     ids = trusted.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_DOCS)
-    shared = spark.sparkContext.broadcast(frozenset(r.doc_id for r in ids.collect()))
+    bits = spark.sparkContext.broadcast(id_filter(ids, "doc_id"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw_counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        target = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                keys, at = grams(*utf8(part.column(1)))
-                raw_counts += np.bincount(keys, minlength=len(raw_counts))
-                mine = np.array([x in shared.value for x in part.column(0).to_pylist()], dtype=bool)
-                if mine.any():
-                    target += np.bincount(keys[np.repeat(mine, np.diff(at))], minlength=len(target))
-        full = np.flatnonzero(raw_counts)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(raw_counts[full]), pa.array(target[full])], ["bucket", "n", "t"])
-        give_back()
+            kept = batch.filter(may_hold(bits.value, batch.column(2)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], ["doc_id", "text"])
 
-    counted = docs.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(count, "bucket bigint, n bigint, t bigint")
-    rows = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    raw_counts, target = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    at = rows.column("bucket").to_numpy()
-    raw_counts[at], target[at] = rows.column("n").to_numpy(), rows.column("t").to_numpy()
+    named = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"), filter_place(id_col)).where("text is not null")
+    target = _counts(named.where("doc_id is not null").mapInArrow(likely, "doc_id string, text string").join(ids, "doc_id", "left_semi").select("text"))
+    raw_counts = _counts(named.select("text"))
     total = target.sum()
     if not total:
         return Ratio(np.zeros(1 << BUCKET_BITS, dtype=np.float32))
     return Ratio(np.log((target + 1) / (raw_counts * (total / raw_counts.sum()) + 1)).astype(np.float32))
 
 
+def _counts(texts: DataFrame) -> np.ndarray:
+    """How many n-grams of a frame (text) fall into each bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                own += np.bincount(grams(*utf8(part.column(0)))[0], minlength=len(own))
+        full = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(own[full])], ["bucket", "n"])
+        give_back()
+
+    rows = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
 def measure(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
     """The counts and the score of each text."""
     n_docs = len(offsets) - 1
@@ -132,28 +137,25 @@ def _repeats(owner: np.ndarray, keys: np.ndarray, later: bool) -> np.ndarray:
     return out
 
 
-def rules(docs: DataFrame, ratio: Ratio, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept[, kept columns]).
+def rules(docs: DataFrame, ratio: Ratio, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Per document: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept[, text, row]).
 
     `score` is the mean log-ratio of the text's n-grams; a document is kept if it passes the counting rules and its score is at
     least `threshold`, whatever the other documents are. Null and empty texts have no words and fail. Repeated rows and null
-    ids pass through. No shuffle.
+    ids pass through. `keep` carries the text and all other columns along (see common.restored), whatever their names. No
+    shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratio.weights)
-    key = docs.schema[id_col].dataType.simpleString()
-    carried = [f"kept_{i}" for i in range(len(keep))]
-    schema = f"doc_id {key}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, score double, kept boolean" + "".join(f", {a} {docs.schema[c].dataType.simpleString()}" for a, c in zip(carried, keep))
+    frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[carried(docs, id_col, text_col)] * keep)
+    more = ("text", "row") * keep
+    schema = schema_of(frame, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, score double, kept boolean", more)
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
         got = measure(*utf8(part.column(1)), shared.value)
         got["kept"] = ~got["base_failed"] & (got["score"] >= threshold)
-        return pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in got.values()], *part.columns[2:]], ["doc_id", *got, *carried])
+        return pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in got.values()], *part.columns[1 : 1 + len(more)]], ["doc_id", *got, *more])
 
-    frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(a) for a, c in zip(carried, keep)])
-    out = run_in_arrow(frame, each, schema, 1)
-    for a, c in zip(carried, keep):
-        out = out.withColumnRenamed(a, c)
-    return out
+    return run_in_arrow(frame, each, schema, 1)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
