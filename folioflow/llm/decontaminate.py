@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -12,51 +13,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, texts
-
-#: Words, over UTF-8 bytes after A-Z are lower-cased.
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Item text in one automaton, in bytes. A larger benchmark is scanned in several passes with one automaton each.
-AUTOMATON_BYTES = 128 << 10
-
-
-def item_windows(text: bytes, size: int = 10) -> list[bytes]:
-    """Windows of an item: each run of `size` words, or all words if there are fewer; none without words. Words stand between spaces."""
-    found = WORD.findall(text.lower())
-    if not found:
-        return []
-    return [b" " + b" ".join(found[i : i + size]) + b" " for i in range(max(1, len(found) - size + 1))]
-
-
-def automaton(items: list[tuple[int, bytes]], size: int) -> ahocorasick.Automaton:
-    """The windows of all items; a window's value is its number of words and the places of its items in `items`."""
-    owners: dict[bytes, list[int]] = {}
-    for place, (_, text) in enumerate(items):
-        for window in dict.fromkeys(item_windows(text, size)):
-            owners.setdefault(window, []).append(place)
+from .common import carried, discard, resident, run_in_arrow, schema_of, table, utf8, words
+
+#: Item text in one automaton, in bytes; it takes some hundred times as much memory. A larger benchmark is scanned in several
+#: rounds, one after the other, each with an automaton of its own.
+AUTOMATON_BYTES = 3 << 20
+
+#: Breaks between words: all ASCII but digits and letters (A-Z are lower-cased before).
+BREAKS = np.zeros(256, dtype=bool)
+BREAKS[[x for x in range(0x80) if not chr(x).isalnum()]] = True
+
+#: Code points that stand for words in the automaton's alphabet, the first of them for any word that no item has; a vocabulary
+#: beyond them gets two for each word, one of either half.
+_CODES = np.array([x for x in range(1, 0x110000) if not 0xD800 <= x < 0xE000], dtype=np.uint32)
+
+
+@dataclass
+class Machine:
+    """The automaton over words as symbols. `hashes` (sorted) and `names` are the items' words, `codes` their code points."""
+
+    automaton: ahocorasick.Automaton
+    hashes: np.ndarray
+    names: list[bytes]
+    codes: np.ndarray
+
+    def symbols(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Code points of words, a row each. A word is one of the items' only if its bytes are equal."""
+        if not len(self.hashes) or not len(hashes):
+            return np.tile(_CODES[:1], (len(hashes), self.codes.shape[1]))
+        row = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = np.flatnonzero(self.hashes[row] == hashes)
+        own, first = np.unique(row[known], return_index=True)
+        data = raw.tobytes()
+        other = [r for r, i in zip(own.tolist(), known[first].tolist()) if data[starts[i] : ends[i]].lower() != self.names[r]]
+        out = np.tile(_CODES[:1], (len(hashes), self.codes.shape[1]))
+        known = known[~np.isin(row[known], other)] if other else known
+        out[known] = self.codes[row[known]]
+        return out
+
+
+def machine(items: list[bytes], size: int) -> Machine:
+    """The automaton of the windows of all items: each run of `size` words, or all words of an item with fewer. A window's value
+    is its number of words and the places of its items in `items`."""
+    raw, offsets = utf8(pa.array(items, pa.binary()))
+    starts, ends, hashes, at = words(raw, offsets, lower=True, breaks=BREAKS)
+    known, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    data = raw.tobytes()
+    names = [data[starts[i] : ends[i]].lower() for i in first.tolist()]
+    if len(known) < len(_CODES) - 1:
+        codes = _CODES[1 : len(known) + 1, None]
+    else:
+        half = len(_CODES) // 2
+        number = np.arange(len(known))
+        codes = np.stack([_CODES[1 + number // half], _CODES[half + number % half]], axis=1)
+    width = codes.shape[1]
+    text = codes[which].tobytes().decode("utf-32-le")
+    owners: dict[str, list[int]] = {}
+    for place, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
+        for i in range(a, max(a + 1, b - size + 1) if b > a else a):
+            mine = owners.setdefault(text[i * width : min(i + size, b) * width], [])
+            if not mine or mine[-1] != place:
+                mine.append(place)
     out = ahocorasick.Automaton()
     for window, places in owners.items():
-        out.add_word(window.decode("latin-1"), (window.count(b" ") - 1, places))
+        out.add_word(window, (len(window) // width, places))
     if owners:
         out.make_automaton()
-    return out
-
-
-def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], list[tuple[int, int]], set[int]]:
-    """One pass over a text: byte spans of its words, hit runs of words (end exclusive), places of the items that occur."""
-    spans = [m.span() for m in WORD.finditer(text.lower())]
-    if not spans or not len(machine):
-        return spans, [], set()
-    lowered = text.lower()
-    joined = b" " + b" ".join([lowered[a:b] for a, b in spans]) + b" "
-    # Word i ends just before the space at joined[closing[i]].
-    closing = np.cumsum(np.fromiter((b - a + 1 for a, b in spans), dtype=np.int64, count=len(spans)))
-    hits, items = [], set()
-    for at, (n, places) in machine.iter(joined.decode("latin-1")):
-        last = int(np.searchsorted(closing, at))
-        hits.append((last - n + 1, last + 1))
-        items.update(places)
-    return spans, hits, items
+    return Machine(out, known, names, codes)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[object, bytes]]]:
@@ -72,78 +95,68 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
     yield run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", spans: bool = False, keep: tuple[str, ...] = (), limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """Per document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated[, spans][, kept columns]).
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: bool = False, limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """Per document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans[, text, row]).
+
+    A word is hit inside any occurrence of a window of an item. `spans` are the hit stretches as "start:end" code points of the
+    original text, comma-joined. Null or wordless texts have no words, hits or items; items with a null text are not used, and
+    an item with a null id hits words but is not listed. Equal item ids count once; repeated rows pass through. `keep` carries
+    the text and all other columns along (see common.restored), whatever their names.
 
-    A word is hit inside any occurrence of a window of an item. `spans` adds the hit stretches as "start:end" byte offsets
-    in the original text, comma-joined. Null or wordless texts have no words, hits or items; items with a null text are
-    not used, and an item with a null id hits words but is not listed. Equal item ids count once; repeated rows pass through.
-    No shuffle: documents stream through the automaton. A benchmark above `limit` bytes takes further passes in the same stage.
+    No shuffle: documents stream through the automaton, each text once. At most `limit` bytes of items are on the driver and
+    broadcast at a time; a benchmark of more takes a round for each run of so many, with the hits so far written between them.
     """
     spark = docs.sparkSession
-    key = docs.schema[id_col].dataType.simpleString()
-    frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_words"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    carried = "".join(f", kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    inner = f"doc_id {key}, text string, hits array<int>, items array<string>, n_words bigint{carried}"
-    outer = f"doc_id {key}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", spans string" * spans + carried
-    runs = list(blocks(benchmark, item_col, item_text_col, limit))
-    for number, run in enumerate(runs):
-        shared = spark.sparkContext.broadcast(run)
-        last = number == len(runs) - 1
-        frame = frame.mapInArrow(_pass(shared, size, spans, last), outer if last else inner)
-    for i, c in enumerate(keep):
-        frame = frame.withColumnRenamed(f"kept_{i}", c)
-    return frame
-
-
-_machines: dict[tuple, ahocorasick.Automaton] = {}
-
-
-def _machine(items: list[tuple[object, bytes]], size: int) -> ahocorasick.Automaton:
-    """The automaton, kept for further tasks of this worker process."""
-    key = size, hash(tuple(text for _, text in items)), len(items)
-    if key not in _machines:
-        _machines.clear()
-        _machines[key] = automaton(items, size)
-    return _machines[key]
-
-
-def _pass(shared, size: int, spans: bool, last: bool):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    start = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), *[carried(docs, id_col, text_col)] * keep)
+    frame, more, last = start, ("row",) * keep, None
+    for run in blocks(benchmark, item_col, item_text_col, limit):
+        if last is not None:
+            written = table(run_in_arrow(frame, _round(last, size, False), schema_of(frame, "text string, hits array<int>, items array<string>", more), 1), "hits")
+            if frame is not start:
+                discard(frame)
+            frame = written
+        last = spark.sparkContext.broadcast(run)
+    own = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans string"
+    return run_in_arrow(frame, _round(last, size, True, keep), schema_of(frame, own, (("text",) if keep else ()) + more), 1)
+
+
+def _round(shared, size: int, final: bool, keep: bool = False):
+    """One scan: adds hits (starts and ends of runs of words) and items of a block; the final one gives the answer."""
+    token = uuid.uuid4().hex
+
+    def each(part: pa.RecordBatch) -> pa.RecordBatch:
         run = shared.value
-        machine = _machine(run, size)
-        for batch in batches:
-            out = {"hits": [], "items": [], "n_words": [], "n_hit": [], "n_items": [], "items_sha256": [], "spans": []}
-            for text, had, listed in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found, hits, places = scan(text, machine)
-                ends = [x for pair in hits for x in pair] + (had or [])
-                names = sorted({*(listed or ()), *(str(run[i][0]) for i in places if run[i][0] is not None)})
-                out["n_words"].append(len(found))
-                if not last:
-                    out["hits"].append(ends)
-                    out["items"].append(names)
-                    continue
-                stretches = _joined(ends)
-                out["n_hit"].append(sum(b - a for a, b in stretches))
-                out["n_items"].append(len(names))
-                out["items_sha256"].append(hashlib.sha256(",".join(names).encode()).hexdigest())
-                out["spans"].append(",".join(f"{found[a][0]}:{found[b - 1][1]}" for a, b in stretches))
-            n_words = pa.array(out["n_words"], pa.int64())
-            rest = list(batch.columns[5:])
-            named = [f"kept_{i}" for i in range(len(rest))]
-            if last:
-                n_hit = pa.array(out["n_hit"], pa.int64())
-                columns = [batch.column(0), n_words, n_hit, pa.array(out["n_items"], pa.int64()), pa.array(out["items_sha256"], pa.string()), pa.array([x > 0 for x in out["n_hit"]], pa.bool_())]
-                names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-                if spans:
-                    columns.append(pa.array(out["spans"], pa.string()))
-                    names.append("spans")
-                yield pa.RecordBatch.from_arrays(columns + rest, names + named)
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out["hits"], pa.list_(pa.int32())), pa.array(out["items"], pa.list_(pa.string())), n_words, *rest], ["doc_id", "text", "hits", "items", "n_words", *named])
-        give_back()
-
-    return go
+        own = resident(("decontamination", token), lambda: machine([t for _, t in run], size))
+        raw, offsets = utf8(part.column(1))
+        starts, ends, hashes, at = words(raw, offsets, lower=True, breaks=BREAKS)
+        codes = own.symbols(raw, starts, ends, hashes)
+        width, cuts = codes.shape[1], at.tolist()
+        all_hits, all_items = [], []
+        for a, b, had, listed in zip(cuts, cuts[1:], part.column(2).to_pylist(), part.column(3).to_pylist()):
+            hits, places = had or [], set()
+            if b > a and len(own.automaton):
+                for end, (n, mine) in own.automaton.iter(codes[a:b].tobytes().decode("utf-32-le")):
+                    hits += [(end + 1) // width - n, (end + 1) // width]
+                    places.update(mine)
+            all_hits.append(hits)
+            all_items.append(sorted({*(listed or ()), *(str(run[i][0]) for i in places if run[i][0] is not None)}))
+        if not final:
+            columns = [part.column(0), part.column(1), pa.array(all_hits, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string())), *part.columns[4:]]
+            return pa.RecordBatch.from_arrays(columns, part.schema.names)
+        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        stretches = [_joined(hits) for hits in all_hits]
+        spans = [",".join(f"{points[starts[a + x]] - points[o]}:{points[ends[a + y - 1]] - points[o]}" for x, y in s) for s, a, o in zip(stretches, cuts, offsets.tolist())]
+        n_hit = [sum(y - x for x, y in s) for s in stretches]
+        columns = [
+            part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in all_items], pa.int64()),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in all_items], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(spans, pa.string()),
+        ]
+        names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+        if keep:
+            return pa.RecordBatch.from_arrays([*columns, part.column(1), part.column(4)], [*names, "text", "row"])
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return each
 
 
 def _joined(ends: list[int]) -> list[tuple[int, int]]:
