@@ -17,24 +17,28 @@ ORDER = 5
 #: languages together, dealt to the languages in turn, most frequent first, so that a small one keeps all it has. They bound
 #: the model; every document is scored whole.
 SAMPLE_DOCS, SAMPLE_TYPES = 3000, 300_000
-#: A language with fewer labelled documents spares none for calibration; at most MAX_LANGS languages are learned, most frequent first.
-TUNE_DOCS, MAX_LANGS = 50, 200
+#: A language with fewer labelled documents spares none for calibration. The labels may name MAX_LANGS languages, more than there
+#: are; the most frequent are learned if they name more.
+TUNE_DOCS, MAX_LANGS = 50, 10_000
 #: A longer run of letters is scored in pieces of this many characters.
 WORD_CHARS = 64
+#: Text bytes scored at once; a longer text is scored alone.
+SCORED_BYTES = 1 << 20
 
 _START, _END = 1, 2
 
 
 @dataclass
 class Model:
-    """Of each order k: sorted hashes of all n-grams seen in any language with each language's log-probability, and sorted
-    hashes of the contexts with each language's log-weight of backing off."""
+    """Of each language and order k: sorted hashes of its n-grams with their log-probabilities, and sorted hashes of their
+    contexts with the log-weights of backing off. All languages together have ORDER entries for each letter of the sample's
+    word types at most, however many languages there are."""
 
     langs: list[str]
-    grams: list[np.ndarray] = field(default_factory=list)
-    probs: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)
-    backoff: list[np.ndarray] = field(default_factory=list)
+    grams: list[list[np.ndarray]] = field(default_factory=list)
+    probs: list[list[np.ndarray]] = field(default_factory=list)
+    contexts: list[list[np.ndarray]] = field(default_factory=list)
+    backoff: list[list[np.ndarray]] = field(default_factory=list)
     floor: float = 0.0
     sharpness: float = 10.0
     reject_entropy: float = float("inf")
@@ -84,77 +88,78 @@ def estimate(langs: list[str], samples: dict[str, tuple[list[str], np.ndarray]],
     The highest order, and n-grams at a word's start, use token counts; the others count distinct left extensions. One
     discount a language and order, n1 / (n1 + 2 n2).
     """
-    counts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []  # by language and order: gram, count, context, suffix
-    symbols: set[int] = set()
+    layouts = {lang: _layout(samples[lang][0]) for lang in langs}
+    symbols = set().union(*[np.unique(codes).tolist() for codes, _, _ in layouts.values()])
+    model = Model(langs, floor=-float(np.log(len(symbols) + 1)))
     for lang in langs:
-        items, tokens = samples[lang]
-        codes, index, word = _layout(items)
-        symbols.update(np.unique(codes).tolist())
+        codes, index, word = layouts[lang]
         hashes = _hashes(codes, order)
-        weight = tokens[word].astype(np.float64)
-        own, longer = [], None
+        weight = samples[lang][1][word].astype(np.float64)
+        tallies, longer = [], None
         for k in range(order, 0, -1):
             place = np.flatnonzero(index >= max(k - 1, 1))
-            before = np.concatenate([[0], hashes[k - 1][:-1]]).astype(np.uint64)
             tally = place if k == order else place[index[place] == k - 1]
             gram, first, inverse = np.unique(hashes[k][tally], return_index=True, return_inverse=True)
             total, at = np.bincount(inverse, weights=weight[tally], minlength=len(gram)), tally[first]
             if longer is not None:  # each longer type is one left extension of its suffix
                 more, first, inverse = np.unique(hashes[k][longer], return_index=True, return_inverse=True)
                 gram, total, at = np.concatenate([gram, more]), np.concatenate([total, np.bincount(inverse, minlength=len(more))]), np.concatenate([at, longer[first]])
-            own.append((gram, total, before[at], hashes[k - 1][at]))
+            tallies.append((gram, total, at))
             longer = at
-        counts.append(own[::-1])
-    model = Model(langs, floor=-float(np.log(len(symbols) + 1)))
-    for k in range(1, order + 1):
-        grams, first = np.unique(np.concatenate([c[k - 1][0] for c in counts]), return_index=True)
-        suffix = np.concatenate([c[k - 1][3] for c in counts])[first]
-        context = np.concatenate([c[k - 1][2] for c in counts])[first]
-        contexts = np.unique(np.concatenate([c[k - 1][2] for c in counts]))
-        lower = np.full((len(grams), len(langs)), model.floor) if k == 1 else model.probs[-1][_find(model.grams[-1], suffix)].astype(np.float64)
-        probs, backoff = np.empty((len(grams), len(langs))), np.zeros((len(contexts), len(langs)))
-        for i, own in enumerate(counts):
-            gram, total, before, _ = own[k - 1]
+        grams, probs, contexts, backoff = [], [], [], []
+        for k, (gram, total, at) in enumerate(tallies[::-1], 1):
+            gram, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+            total, at = np.bincount(inverse, weights=total), at[first]
             n1, n2 = (total == 1).sum(), (total == 2).sum()
             discount = min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
-            at = _find(contexts, before)
-            mass = np.bincount(at, weights=total, minlength=len(contexts))
-            types = np.bincount(at, minlength=len(contexts))
-            share = np.divide(discount * types, mass, out=np.ones(len(contexts)), where=mass > 0)
-            backoff[:, i] = np.log(share)
-            rows = _find(contexts, context)
-            seen = np.zeros(len(grams))
-            seen[_find(grams, gram)] = np.maximum(total - discount, 0)
-            direct = np.divide(seen, mass[rows], out=np.zeros(len(grams)), where=mass[rows] > 0)
-            probs[:, i] = np.log(direct + share[rows] * np.exp(lower[:, i]))
+            context, which = np.unique(hashes[k - 1][at - 1], return_inverse=True)
+            mass, types = np.bincount(which, weights=total), np.bincount(which)
+            share = discount * types / mass
+            lower = np.full(len(gram), np.exp(model.floor)) if k == 1 else np.exp(probs[-1][_find(grams[-1], hashes[k - 1][at])])
+            grams.append(gram)
+            probs.append(np.log(np.maximum(total - discount, 0) / mass[which] + share[which] * lower))
+            contexts.append(context)
+            backoff.append(np.log(share).astype(np.float32))
         model.grams.append(grams)
-        model.probs.append(probs.astype(np.float32))
+        model.probs.append([x.astype(np.float32) for x in probs])
         model.contexts.append(contexts)
-        model.backoff.append(backoff.astype(np.float32))
+        model.backoff.append(backoff)
     return model
 
 
 def score_words(model: Model, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of each word's log-probabilities in each language, and the number of predictions (letters and the end)."""
-    order = len(model.grams)
+    """Sum of each word's log-probabilities in each language, and the number of predictions (letters and the end).
+
+    Each distinct n-gram of the words is looked up once in each language, from short to long: where a language lacks one, it
+    backs off to what it gives the n-gram's suffix.
+    """
+    if not items:
+        return np.zeros((0, len(model.langs))), np.zeros(0, dtype=np.int64)
+    order = len(model.grams[0])
     codes, index, word = _layout(items)
     hashes = _hashes(codes, order)
-    left = np.flatnonzero(index >= 1)
-    sums = np.zeros((len(codes), len(model.langs)))
-    for k in range(order, 0, -1):
-        able = index[left] >= k - 1
-        rows = np.full(len(left), -1)
-        rows[able] = _find(model.grams[k - 1], hashes[k][left[able]])
-        hit = rows >= 0
-        sums[left[hit]] += model.probs[k - 1][rows[hit]]
-        missed = left[~hit & able]
-        context = _find(model.contexts[k - 1], hashes[k - 1][missed - 1])
-        sums[missed[context >= 0]] += model.backoff[k - 1][context[context >= 0]]
-        left = left[~hit]
-    sums[left] += model.floor
-    ends = np.flatnonzero(np.append(np.diff(word), 1)) if len(codes) else np.zeros(0, dtype=np.int64)
-    total = np.cumsum(sums, axis=0)[ends]
-    return np.diff(total, axis=0, prepend=0), np.diff(ends, prepend=-1) - 1
+    predicted = np.flatnonzero(index >= 1)
+    rank = np.cumsum(index >= 1) - 1  # of a place among the predicted ones
+    levels, suffix_of = [], np.zeros(len(predicted), dtype=np.int64)
+    for k in range(1, order + 1):
+        place = predicted[index[predicted] >= k - 1]
+        keys, first, inverse = np.unique(hashes[k][place], return_index=True, return_inverse=True)
+        levels.append((keys, hashes[k - 1][place[first] - 1], suffix_of[rank[place[first]]], rank[place], inverse))
+        suffix_of = np.zeros(len(predicted), dtype=np.int64)
+        suffix_of[rank[place]] = inverse
+    starts = np.flatnonzero(np.diff(word[predicted], prepend=-1))
+    out = np.empty((len(items), len(model.langs)))
+    for i in range(len(model.langs)):
+        values, score = np.full(1, model.floor), np.zeros(len(predicted))
+        for k, (keys, context, suffix, at, inverse) in enumerate(levels):
+            rows, back = _find(model.grams[i][k], keys), _find(model.contexts[i][k], context)
+            lower = values[suffix]
+            lower[back >= 0] += model.backoff[i][k][back[back >= 0]]
+            lower[rows >= 0] = model.probs[i][k][rows[rows >= 0]]
+            values = lower
+            score[at] = values[inverse]
+        out[:, i] = np.add.reduceat(score, starts)
+    return out, np.diff(np.append(starts, len(predicted)))
 
 
 def score_texts(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +244,7 @@ def _means(frame: DataFrame, model: Model) -> DataFrame:
         means, symbols = score_texts(shared.value, *utf8(part.column(1)))
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(means.tolist(), pa.list_(pa.float64())), pa.array(symbols)], ["lang", "means", "symbols"])
 
-    return run_in_arrow(frame, each, "lang string, means array<double>, symbols bigint", 1)
+    return run_in_arrow(frame, each, "lang string, means array<double>, symbols bigint", 1, SCORED_BYTES)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,4 +273,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted"])
 
     frame = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.when(F.col(text_col).cast("string").rlike(r"\p{L}"), letters(F.col(text_col).cast("string"))).alias("text"))
-    return run_in_arrow(frame, each, f"doc_id {key}, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean", 2)
+    return run_in_arrow(frame, each, f"doc_id {key}, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean", 2, SCORED_BYTES)
