@@ -7,22 +7,28 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import new_path, table
+from .common import discard, new_path, table
 
 SCHEMA = "page_id bigint, record_type string, record_id string, target_uri string, payload_digest string, payload_bytes bigint, refers_to string, payload binary"
 #: A file is closed at this size; files are what a read divides among tasks.
 FILE_BYTES, SPLIT_BYTES = 64 << 20, 64 << 20
 #: Least payload that another record may revisit.
 MIN_REVISIT_BYTES = 0
+#: Bytes read for a record's header, which comes first, where the rest may not be wanted.
+HEAD_BYTES = 2048
+#: Suffix of the file with an archive's compressed offsets; field for a target with line ends or edge spaces.
+_INDEX, _EXACT = ".idx", "X-Target-URI-Base64"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Columns that a filter can test on the headers alone.
 _HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
@@ -64,7 +70,7 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        files, out = [], None
+        files, out, starts = [], None, []
         for batch in iterator:
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             payloads = columns["payload"]
@@ -72,21 +78,32 @@ class WarcWriter(DataSourceArrowWriter):
             for i, (page, kind, target, digest, size, refers) in enumerate(zip(*rest)):
                 if out is None:
                     files.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    out = fs.open_output_stream(f"{root}/{files[-1]}", compression=None)
+                    out, starts = fs.open_output_stream(f"{root}/{files[-1]}", compression=None), []
                 fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id(page, target)}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
                 fields += [("WARC-Target-URI", target)] if target is not None else []
+                if target is not None and target != _line(target).strip():
+                    fields.append((_EXACT, base64.b64encode(target.encode("utf-8")).decode()))
                 fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Bytes", str(size)), ("Content-Type", "application/http; msgtype=response")]
                 fields += [("X-Page-ID", str(page))] if page is not None else []
                 if kind == "revisit":
                     fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{record_id(int(refers), None)}>")]
+                starts.append(out.tell())
                 out.write(encode_record(fields, _HTTP + (b"" if kind == "revisit" else payloads[i].as_py() or b"")))
                 if out.tell() >= FILE_BYTES:
-                    out.close()
+                    self._finish(fs, f"{root}/{files[-1]}", out, starts)
                     out = None
         if out is not None:
-            out.close()
+            self._finish(fs, f"{root}/{files[-1]}", out, starts)
         return Written(files)
 
+    @staticmethod
+    def _finish(fs: pafs.FileSystem, path: str, out: pa.NativeFile, starts: list[int]) -> None:
+        """Close an archive and write the compressed offsets of its records, and its size, beside it."""
+        ends = np.array([*starts, out.tell()], dtype="<i8")
+        out.close()
+        with fs.open_output_stream(path + _INDEX, compression=None) as index:
+            index.write(ends.tobytes())
+
     def commit(self, messages: list[Written]) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
@@ -96,7 +113,9 @@ class WarcWriter(DataSourceArrowWriter):
     def abort(self, messages: list[Written]) -> None:
         fs, root = _open(self.path)
         for name in (f for m in messages if m for f in m.files):
-            fs.delete_file(f"{root}/{name}")
+            for file in (name, name + _INDEX):
+                if fs.get_file_info(f"{root}/{file}").type != pafs.FileType.NotFound:
+                    fs.delete_file(f"{root}/{file}")
 
 
 @dataclass
@@ -105,8 +124,9 @@ class Files(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Reads archives file by file. Headers come first; a record that the pushed predicates refuse, or whose payload is not
-    wanted, has its block skipped without being parsed."""
+    """Reads archives file by file. Headers come first. Of a record that the pushed predicates refuse, or whose payload is not
+    wanted, nothing else is decoded: files that were written here have an index of compressed offsets to skip by, and plain
+    files are skipped in by length. Only in compressed files of others must a block be inflated to find where it ends."""
 
     def __init__(self, path: str, payload: bool, verify: bool):
         self.path, self.payload, self.verify = path, payload, verify
@@ -167,31 +187,52 @@ class WarcReader(DataSourceReader):
 
     def records(self, path: str) -> Iterator[tuple[dict[str, str], bytes | None]]:
         fs, inner = _open(path)
-        with fs.open_input_stream(inner, compression=None, buffer_size=1 << 20) as raw:
-            source = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
-            stream = io.BufferedReader(source, 1 << 18) if path.endswith(".gz") else io.BufferedReader(io.BytesIO(raw.read()))
-            while True:
-                line = stream.readline()
-                if not line:
-                    return
-                if not line.startswith(b"WARC/"):
-                    continue
-                head = {}
-                while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-                    k, _, v = line.decode("utf-8").partition(":")
-                    head[k.strip().lower()] = v.strip()
-                size = int(head.get("content-length", 0))
-                keep = self.wanted(head)
-                if keep and self.payload and head.get("warc-type") != "revisit":
-                    yield head, stream.read(size)
-                    continue
-                while size > 0:
-                    gone = len(stream.read(min(size, 1 << 18)))
-                    if not gone:
-                        return
-                    size -= gone
-                if keep:
-                    yield head, None
+        if fs.get_file_info(inner + _INDEX).type != pafs.FileType.NotFound:
+            yield from self._indexed(fs, inner)
+        elif path.endswith(".gz"):
+            with fs.open_input_stream(inner, compression=None, buffer_size=1 << 20) as raw:
+                yield from self._streamed(io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18))
+        else:
+            with fs.open_input_file(inner) as raw:
+                yield from self._streamed(io.BufferedReader(raw, 1 << 18))
+
+    def _indexed(self, fs: pafs.FileSystem, inner: str) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        with fs.open_input_stream(inner + _INDEX, compression=None) as index:
+            ends = np.frombuffer(index.read(), dtype="<i8").tolist()
+        with fs.open_input_file(inner) as raw:
+            for start, end in zip(ends, ends[1:]):
+                inflate, at, text = zlib.decompressobj(31), start, b""
+                step = end - start if self.payload and not self.tests else HEAD_BYTES
+                while b"\r\n\r\n" not in text and at < end:
+                    piece = raw.read_at(min(step, end - at), at)
+                    at += len(piece)
+                    text += inflate.decompress(piece)
+                lines, _, block = text.partition(b"\r\n\r\n")
+                head = _head(lines.split(b"\r\n")[1:])
+                if self.wanted(head):
+                    if self.payload and head.get("warc-type") != "revisit":
+                        if at < end:
+                            block += inflate.decompress(raw.read_at(end - at, at))
+                        yield head, block[: int(head.get("content-length", 0))]
+                    else:
+                        yield head, None
+
+    def _streamed(self, stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            lines = []
+            while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+                lines.append(line)
+            head = _head(lines)
+            size = int(head.get("content-length", 0))
+            keep = self.wanted(head)
+            if keep and self.payload and head.get("warc-type") != "revisit":
+                yield head, stream.read(size)
+                continue
+            stream.seek(size, io.SEEK_CUR)
+            if keep:
+                yield head, None
 
     def row(self, head: dict[str, str], block: bytes | None) -> tuple:
         page = head.get("x-page-id")
@@ -207,6 +248,17 @@ class WarcReader(DataSourceReader):
         return int(page) if page is not None else None, head.get("warc-type"), _value(head, "warc-record-id"), head.get("warc-target-uri"), digest, int(size) if size is not None else None, _value(head, "warc-refers-to"), payload
 
 
+def _head(lines: list[bytes]) -> dict[str, str]:
+    """Header fields by lower-cased name; a target that its own field can't hold stands in another, exactly."""
+    head = {}
+    for line in lines:
+        k, _, v = line.decode("utf-8").partition(":")
+        head[k.strip().lower()] = v.strip()
+    if exact := head.get(_EXACT.lower()):
+        head["warc-target-uri"] = base64.b64decode(exact).decode("utf-8")
+    return head
+
+
 def _value(head: dict[str, str], name: str) -> str | None:
     got = head.get(name)
     if got is None:
@@ -275,6 +327,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 
     rows = rows.mapInArrow(digests, "page_id bigint, record_type string, target_uri string, payload_bytes bigint, refers_to string, payload binary, payload_digest string")
     rows.write.format("warc").mode("append").save(path)
+    discard(firsts)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
