@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes handled at once inside a Python worker; one longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -164,11 +166,11 @@ _LOWER_CODES = _BYTE_CODES[LOWER]
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 12, 1 << (n - 1).bit_length()) if n <= SLICE_BYTES // 4 else n
+        size = max(1 << 12, 1 << (n - 1).bit_length()) if n <= SLICE_BYTES else n
         have = np.ones(size, dtype=np.uint64)
         have[1:] = np.uint64(base)
         have = np.multiply.accumulate(have)
-        if size <= SLICE_BYTES // 4:
+        if size <= SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 
@@ -217,8 +219,21 @@ def give_back() -> None:
         trim(0)
 
 
+def mapped(df: DataFrame, go: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over small batches, which gives memory back when a task has ended."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from go(batches)
+        give_back()
+
+    return df.mapInArrow(all_of, schema)
+
+
 def run_in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, column: int = 0, limit: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow with batches cut by `slices`; `each` may return None for no rows."""
+    """`mapped` with batches cut by `slices`; `each` may return None for no rows."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,9 +241,8 @@ def run_in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch
                 out = each(part)
                 if out is not None:
                     yield out
-        give_back()
 
-    return df.mapInArrow(go, schema)
+    return mapped(df, go, schema)
 
 
 #: Bits of an id filter; its size does not depend on the data.

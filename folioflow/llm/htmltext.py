@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import mapped, slices, table
 
 #: A subtree of little text is a template if at least this share of a host's pages, and at least so many, have it. Pages whose
 #: undropped texts differ in digits at most count once, so mirrored articles don't make their own text a template.
@@ -310,7 +310,7 @@ def templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMP
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_()))], ["host", "content", "hash", "long"])
 
-    each = pages.mapInArrow(go, "host string, content bigint, hash bigint, long boolean").distinct()
+    each = mapped(pages, go, "host string, content bigint, hash bigint, long boolean").distinct()
     counts = table(each.groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("long").alias("long")).where(F.col("n") >= least), "subtrees")
     totals = counts.where("hash = -1").select("host", F.col("n").alias("pages"))
     enough = F.when(F.col("long"), F.least(F.lit(float(MANY_PAGES)), LOW_SHARE * F.col("pages"))).otherwise(share * F.col("pages"))
@@ -338,9 +338,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for r in rows:
             lists.setdefault(r.host, set()).add(r.hash)
         shared = spark.sparkContext.broadcast(lists)
-        return base.mapInArrow(_pages(lambda batch: (shared.value.get(h, ()) for h in batch.column(3).to_pylist())), schema)
+        return mapped(base, _pages(lambda batch: (shared.value.get(h, ()) for h in batch.column(3).to_pylist())), schema)
     lists = table(found.groupBy("host").agg(F.collect_list("hash").alias("gone")), "template-lists")
-    return base.join(lists, "host", "left").select("page_id", "url", "html", "gone").mapInArrow(_pages(lambda batch: (set(x or ()) for x in batch.column(3).to_pylist())), schema)
+    return mapped(base.join(lists, "host", "left").select("page_id", "url", "html", "gone"), _pages(lambda batch: (set(x or ()) for x in batch.column(3).to_pylist())), schema)
 
 
 def _pages(gone):

@@ -23,7 +23,7 @@ TUNE_DOCS, MAX_LANGS = 50, 10_000
 #: A longer run of letters is scored in pieces of this many characters.
 WORD_CHARS = 64
 #: Text bytes scored at once; a longer text is scored alone.
-SCORED_BYTES = 1 << 20
+SCORED_BYTES = 1 << 19
 
 _START, _END = 1, 2
 

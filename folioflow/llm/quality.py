@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, carried, filter_place, give_back, id_filter, may_hold, run_in_arrow, schema_of, slices, utf8, windows, words
+from .common import SPACES, carried, filter_place, id_filter, mapped, may_hold, run_in_arrow, schema_of, slices, utf8, windows, words
 
 #: Bytes of an n-gram, and the power of two of the hashed buckets that both multinomials share.
 GRAM, BUCKET_BITS = 4, 16
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(kept.columns[:2], ["doc_id", "text"])
 
     named = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"), filter_place(id_col)).where("text is not null")
-    target = _counts(named.where("doc_id is not null").mapInArrow(likely, "doc_id string, text string").join(ids, "doc_id", "left_semi").select("text"))
+    target = _counts(mapped(named.where("doc_id is not null"), likely, "doc_id string, text string").join(ids, "doc_id", "left_semi").select("text"))
     raw_counts = _counts(named.select("text"))
     total = target.sum()
     if not total:
@@ -88,9 +88,8 @@ def _counts(texts: DataFrame) -> np.ndarray:
                 own += np.bincount(grams(*utf8(part.column(0)))[0], minlength=len(own))
         full = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(own[full])], ["bucket", "n"])
-        give_back()
 
-    rows = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = mapped(texts, count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << BUCKET_BITS)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out

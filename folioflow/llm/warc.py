@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import discard, new_path, table
+from .common import discard, mapped, new_path, table
 
 SCHEMA = "page_id bigint, record_type string, record_id string, target_uri string, payload_digest string, payload_bytes bigint, refers_to string, payload binary"
 #: A file is closed at this size; files are what a read divides among tasks.
@@ -325,7 +325,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
             text = pa.array([base64.b32encode(x).decode() for x in batch.column(6).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], text], [*batch.schema.names[:6], "payload_digest"])
 
-    rows = rows.mapInArrow(digests, "page_id bigint, record_type string, target_uri string, payload_bytes bigint, refers_to string, payload binary, payload_digest string")
+    rows = mapped(rows, digests, "page_id bigint, record_type string, target_uri string, payload_bytes bigint, refers_to string, payload binary, payload_digest string")
     rows.write.format("warc").mode("append").save(path)
     discard(firsts)
 
