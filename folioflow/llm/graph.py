@@ -19,8 +19,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = table(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both, "large-star")
-        small = _star(large, "small-star", own=True)
+        large = table(_star(both), "large-star")
+        small = table(_star(large, own=True), "small-star")
         changed = small.exceptAll(now).limit(1).count() or now.exceptAll(small).limit(1).count()
         discard(large, now)
         now = small
@@ -31,15 +31,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _star(pairs: DataFrame, tag: str, own: bool = False) -> DataFrame:
+def _star(pairs: DataFrame, own: bool = False) -> DataFrame:
     """Large-star of symmetric pairs: (v, least of u and its neighbours) for neighbours v > u. With `own`, pairs point
     from a larger to a smaller node, and their smaller nodes and u itself are linked to the least."""
-    least = table(pairs.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
     joined = pairs.join(least, "a")
     if own:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     else:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-    out = table(out.where("a <> b").distinct(), tag)
-    discard(least)
-    return out
+    return out.where("a <> b").distinct()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, filter_place, give_back, id_filter, may_hold, mix, run_in_arrow, slices, table, utf8, windows, words
+from .common import discard, filter_place, id_filter, mapped, may_hold, mix, run_in_arrow, slices, table, utf8, windows, words
 from .graph import components
 
 #: Words of a shingle; similarity as a percentage.
@@ -133,9 +133,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 sig = pa.array(_signatures(items, at), pa.binary()).filter(pa.array(full))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], at[1:][full]]), pa.int32()), pa.array(items.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(full)), sig, lists], ["doc_id", "sig", "items"])
-        give_back()
 
-    found = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc_id"), F.col(text_col).cast("string").alias("text"), filter_place(id_col)).mapInArrow(go, "doc_id string, sig binary, items array<bigint>")
+    named_rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc_id"), F.col(text_col).cast("string").alias("text"), filter_place(id_col))
+    found = mapped(named_rows, go, "doc_id string, sig binary, items array<bigint>")
     named = wanted.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "sig")
     return found.join(named, ["doc_id", "sig"]).dropDuplicates(["sig"]).select("sig", "items")
 
@@ -150,32 +150,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _unsettled(state: DataFrame, final: DataFrame) -> DataFrame:
     """Rows (band, sig, marks, root) of the buckets that still hold several components."""
-    now = table(state.join(final, F.col("sig") == F.col("node"), "left").select("band", "sig", "marks", F.coalesce("root", "sig").alias("root")), "rooted")
+    now = state.join(final, F.col("sig") == F.col("node"), "left").select("band", "sig", "marks", F.coalesce("root", "sig").alias("root"))
     mixed = now.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band")
-    out = table(now.join(mixed, "band"), "unsettled")
-    discard(now)
-    return out
+    return table(now.join(mixed, "band"), "unsettled")
 
 
 def _reachable(state: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of `state` that a class of another component can still be similar to, with n (shingles) and c (those of them
-    that some class of another component in `state` has too; no such class shares more).
+    """(sig, n, c) of the classes in `state` that a class of another component can still be similar to: n are its shingles, and c
+    those of them that some class of another component in `state` has too; no such class shares more.
 
     Similarity 0.75 needs c >= 0.75 n. A text that differs from its group by words of its own fails here, without being
     compared with the group's members.
     """
     each = table(state.select("sig", "root").distinct().join(sets, "sig").select("sig", "root", F.size("items").alias("n"), F.explode("items").alias("item")), "open-items")
-    common = table(each.groupBy("item").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("item"), "common")
+    common = each.groupBy("item").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("item")
     counts = each.join(common, "item").groupBy("sig").agg(F.max("n").alias("n"), F.count("*").alias("c")).where(F.col("c") * 100 >= F.col("n") * PERCENT)
-    reach = table(counts, "reach")
-    out = table(state.join(reach, "sig"), "reachable")
-    discard(each, common, reach)
+    out = table(counts, "reachable")
+    discard(each)
     return out
 
 
-def _measured(state: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFrame:
-    """`state` with the centre of each row's bucket and `held`, the shingles shared with it; null if that pair was not verified."""
-    placed = state.join(centres.select("band", F.col("c.sig").alias("centre")), "band").withColumn("a", F.least("sig", "centre")).withColumn("b", F.greatest("sig", "centre"))
+def _measured(state: DataFrame, reach: DataFrame, centres: DataFrame, tested: DataFrame) -> DataFrame:
+    """`state` of the classes in `reach`, with the centre of each row's bucket and `held`, the shingles shared with it; null if that
+    pair was not verified."""
+    placed = state.join(reach, "sig").join(centres.select("band", F.col("c.sig").alias("centre")), "band").withColumn("a", F.least("sig", "centre")).withColumn("b", F.greatest("sig", "centre"))
     held = F.when(F.col("sig") == F.col("centre"), F.col("n")).otherwise(F.col("shared"))
     return table(placed.join(tested.select("a", "b", "shared"), ["a", "b"], "left").select("band", "centre", "sig", "root", "marks", "n", "c", held.alias("held")), "measured")
 
@@ -201,8 +199,8 @@ def _open_pairs(state: DataFrame, sets: DataFrame) -> DataFrame:
     known = state.where("held IS NOT NULL").drop("band").distinct()
     items = known.join(sets, "sig").join(sets.select(F.col("sig").alias("centre"), F.col("items").alias("own")), "centre")
     extra = table(items.select("centre", "sig", "root", "marks", "n", "c", "held", F.explode(F.array_except("items", "own")).alias("item")), "extra")
-    common = table(extra.groupBy("centre", "item").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("centre", "item"), "extra-common")
-    extra = table(extra.join(common, ["centre", "item"]), "extra-shared")
+    common = extra.groupBy("centre", "item").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("centre", "item")
+    extra = extra.join(common, ["centre", "item"])
     most = F.least(either, F.least("held", "other_held") + F.least(F.col("n") - F.col("held"), F.col("m") - F.col("other_held")))
     beside = extra.join(renamed(extra, "centre", "item"), ["centre", "item"]).where(alike & _enough(most)).select(*pair)
     return inside.unionByName(beside).distinct()
@@ -224,35 +222,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = table(sketches(docs, id_col, text_col), "sketches")
     classes = table(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
     members = classes.select("sig", F.explode("bands").alias("band"))
-    shared = table(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     inside = table(members.join(shared, "band").select("band", "sig", "n"), "bucket-members")
     # A class that meets many others comes first as a centre: the text that a group was copied from meets the most.
     weights = inside.groupBy("sig").agg(F.sum("n").alias("weight"))
     needed = table(weights.join(classes.select("sig", "doc_id", "marks"), "sig"), "needed")
     sets = table(_sets(docs, needed, id_col, text_col), "sets")
     members_of = table(inside.join(needed.select("sig", "weight", "marks"), "sig").select("band", "sig", "weight", "marks"), "members")
-    discard(shared, inside, needed)
+    discard(inside, needed)
     linked = F.col("shared") * 100 >= F.col("united") * PERCENT
-    centres = table(members_of.groupBy("band").agg(F.max_by(F.struct("sig", "marks"), F.struct("weight", F.xxhash64("sig"))).alias("c")), "centres")
+    centres = members_of.groupBy("band").agg(F.max_by(F.struct("sig", "marks"), F.struct("weight", F.xxhash64("sig"))).alias("c"))
     pairs = members_of.join(centres, "band").where((F.col("sig") != F.col("c.sig")) & (_differing("marks", "c.marks") < UNLIKE)).select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct()
     tested = table(_verified(pairs, sets), "links")
-    final = table(components(tested.where(linked).select("a", "b")), "components")
+    final = components(tested.where(linked).select("a", "b"))
     unsettled = _unsettled(members_of, final)
-    discard(members_of)
-    reachable = _reachable(unsettled, sets)
-    state = _measured(reachable, centres, tested)
-    discard(unsettled, reachable, centres)
+    reach = _reachable(unsettled, sets)
+    state = _measured(unsettled, reach, centres, tested)
+    discard(members_of, unsettled, reach)
     rest = _open_pairs(state, sets).join(tested, ["a", "b"], "left_anti")
     more = table(_verified(rest, sets).where(linked).select("a", "b"), "more-links")
     discard(sets, state, tested)
     if more.limit(1).count():
         final = components(final.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    placed = table(classes.select("sig", "doc_id").join(final, F.col("sig") == F.col("node")).select("sig", "doc_id", "root"), "placed")
-    least = table(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    placed = classes.select("sig", "doc_id").join(final, F.col("sig") == F.col("node")).select("sig", "doc_id", "root")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     moved = placed.join(least, "root").select("sig", "component_id")
-    answer = classes.select("sig", "doc_id").join(moved, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
-    answer = table(answer, "answer")
-    discard(classes, placed, least)
+    answer = table(classes.select("sig", "doc_id").join(moved, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id")), "answer")
+    discard(classes)
     full = rows.select("doc_id", "n_shingles", "sig").join(answer, "sig", "left")
     alone = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return full.select("doc_id", "n_shingles", alone.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
