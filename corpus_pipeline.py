@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, decontaminate, neardup, quality, secretscan
-from folioflow.llm.common import table
+from folioflow.llm.common import restored, table
 
 #: SQL cannot express the hashed likelihood ratio, the ownership frequency and the encoding; a test compares with brute force.
 ORACLE_SQL = None
@@ -16,8 +16,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the counting rules or the likelihood ratio reject."""
     ratio = quality.fit(docs, quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.rules(docs, ratio, keep=rest).where("kept").select(*docs.columns)
+    return restored(quality.rules(docs, ratio, keep=True).where("kept"), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +28,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in which a window of a benchmark item occurs."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=rest).where("not contaminated").select(*docs.columns)
+    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=True)
+    return restored(judged.where("not contaminated"), docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace each secret by its kind; n_chars follows the text. Texts without secrets stay as they are, null included."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
     text = secretscan.masked(F.col("text"), F.col("found"))
-    scanned = secretscan.scan(docs, keep=rest).withColumn("text", text)
-    size = F.when(F.size("found") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return scanned.withColumn("n_chars", size).select(*docs.columns)
+    size = F.when(F.size("found") > 0, F.length(text).cast("bigint"))
+    return restored(secretscan.scan(docs, keep=True), docs.columns, change={"text": lambda old: text, "n_chars": lambda old: F.coalesce(size, old)})
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

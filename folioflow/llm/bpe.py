@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, MutableSequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, texts
+from .common import hashed, mapped, resident, slices, texts, utf8
 
-#: Entries that one generation of each of a worker's two caches holds, and the longest key in characters. They bound
-#: memory only: what is not cached is merged anew.
-CACHED, CACHED_CHARS = 200_000, 48
+#: Bounds of a worker's cache: pieces, of some 40 bytes each, and the longest in bytes. They bound memory only: what is not
+#: cached is merged anew.
+CACHED_PIECES, CACHED_BYTES = 500_000, 64
+#: Text bytes encoded at once; a longer text is encoded alone.
+ENCODED_BYTES = 1 << 18
 #: Bytes of pre-tokens that share one queue; a longer pre-token has a queue of its own.
-QUEUE_BYTES = 1 << 18
+QUEUE_BYTES = 1 << 16
 #: Ranks below this are popped a whole bucket at a time with array operations, as their buckets are long.
 LOW_RANKS = 1200
 #: Ranks under one leaf of the bitmap, as a power of two.
@@ -68,39 +71,76 @@ class RankQueue:
         return rank, bucket
 
 
-class Cache:
-    """A dict that forgets what two generations of new keys haven't asked for."""
-
-    __slots__ = ("young", "old")
+class Pieces:
+    """Ids of short pieces of text by the hash of their bytes: sorted hashes, each with a run of ids in one pool."""
 
     def __init__(self):
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def get(self, key):
-        found = self.old.get(key)
-        if found is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= CACHED:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        self.keys, self.at, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.asked = np.zeros(0, dtype=bool)
+        self.pool, self.held = np.zeros(1 << 16, dtype=np.int32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        rows = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        rows[self.keys[rows] != keys] = -1
+        self.asked[rows[rows >= 0]] = True
+        return rows
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Add keys, sorted, with `size` ids each; those that are there already stay as they are."""
+        new = self.find(keys) < 0
+        if not new.all():
+            keys, ids, size = keys[new], ids[np.repeat(new, size)], size[new]
+        if len(self.keys) + len(keys) > CACHED_PIECES:
+            self._forget()
+        if self.held + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.held], np.zeros(self.held + 2 * len(ids), dtype=np.int32)])
+        self.pool[self.held : self.held + len(ids)] = ids
+        place = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, place, self.held + np.cumsum(size) - size)
+        self.size, self.asked = np.insert(self.size, place, size), np.insert(self.asked, place, False)
+        self.keys = np.insert(self.keys, place, keys)
+        self.held += len(ids)
+
+    def _forget(self) -> None:
+        """Keep what was asked for since the last time, or nothing if that is nearly all."""
+        keep = np.flatnonzero(self.asked & (self.asked.sum() < 3 * CACHED_PIECES // 4))
+        ids = self.pool[_runs(self.at[keep], self.size[keep])]
+        self.keys, self.size = self.keys[keep], self.size[keep]
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.asked = np.zeros(len(keep), dtype=bool)
+        self.pool, self.held = ids, len(ids)
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, joined."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _list(x: np.ndarray) -> MutableSequence[int]:
+    """As a list, or as a more compact array if it is long."""
+    return x.tolist() if len(x) <= 2 * QUEUE_BYTES else array("q", x.astype(np.int64).tobytes())
+
+
+#: Bytes after a space before which a text is cut: not white space, and not the first byte of a character that may be.
+_STARTS = np.ones(256, dtype=bool)
+_STARTS[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 class Codec:
     """Encoder and decoder for one vocabulary. `pattern` cuts a text into pre-tokens that are merged separately.
 
-    Texts are first cut before each space that a non-space follows. The pattern can match no space inside a token that
-    has a non-space after it, so such a place is always a token's start, and the pieces between can be cached whole.
+    Texts are first cut before spaces that a non-space follows. The pattern can match no space inside a token that has a
+    non-space after it, so such a place is always a token's start, and the pieces between can be cached whole.
     """
 
     def __init__(self, ranks: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
         self.size = max(self.ranks.values()) + 1
         self.find = regex.compile(pattern).findall
-        self.split = regex.compile(r" (?=\S)").split
         #: Rank of each pair of tokens: of the token with their bytes.
         self.pairs = {self.ranks[t[:i]] * (self.size + 1) + self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
@@ -122,7 +162,7 @@ class Codec:
         self.places = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.queue = RankQueue(self.size)
-        self.pieces, self.words = Cache(), Cache()
+        self.pieces = Pieces()
 
     def merge(self, items: list[bytes]) -> list[bytes]:
         """Packed ids of each pre-token: again and again its leftmost pair of lowest rank becomes one token.
@@ -182,15 +222,15 @@ class Codec:
         flat = out.tobytes()
         return [flat[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)]
 
-    def _merge_low(self, tok: np.ndarray, now: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
-        """Empty the queue's buckets of low rank, each at once, and give the linked list as lists.
+    def _merge_low(self, tok: np.ndarray, now: np.ndarray) -> tuple[MutableSequence[int], ...]:
+        """Empty the queue's buckets of low rank, each at once, and give the linked list.
 
         Merges in one bucket don't depend on each other except for overlapping pairs, of which every other one of a run is
         merged from its left end on, and for adjacent pairs whose token can make a pair of lower rank: these end this phase.
         """
         n, low, queue = len(tok), self.low, self.queue
         if not low:
-            return tok.tolist(), now.tolist(), list(range(1, n + 1)), list(range(-1, n))
+            return _list(tok), _list(now), _list(np.arange(1, n + 1)), _list(np.arange(-1, n))
         tok = np.append(np.where(tok == self.size, low, tok), low)
         after, before = np.arange(1, n + 1), np.arange(-1, n)
         while queue.root:
@@ -226,96 +266,88 @@ class Codec:
             heads, where = ranks[cuts].tolist(), where.tolist()
             for head, a, b in zip(heads, cuts, [*cuts[1:], len(where)]):
                 queue.push(head, where[a:b])
-        return np.where(tok[:n] == low, self.size, tok[:n]).tolist(), now.tolist(), after.tolist(), before.tolist()
-
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of pieces that the cache lacks, each with the space before it. A piece of letters is one pre-token."""
-        cut = [None if x.isalpha() else self.find(" " + x) for x in pieces]
-        words: dict[str, bytes | None] = {}
-        for x, found in zip(pieces, cut):
-            if found is None:
-                words[" " + x] = None
-            else:
-                for y in found:
-                    words[y] = self.pieces.get(y[1:]) if y[0] == " " else self.words.get(y)
-        self._merge_missing(words)
-        out = []
-        for x, found in zip(pieces, cut):
-            ids = words[" " + x] if found is None else b"".join([words[y] for y in found])
-            if len(x) <= CACHED_CHARS:
-                self.pieces.put(x, ids)
-            out.append(ids)
-        return out
-
-    def learn_heads(self, heads: list[str]) -> list[bytes]:
-        """Packed ids of the starts of texts, up to their first single space."""
-        cut = [self.find(x) for x in heads]
-        words = {y: self.words.get(y) for y in {y for found in cut for y in found}}
-        self._merge_missing(words)
-        return [b"".join([words[y] for y in found]) for found in cut]
-
-    def _merge_missing(self, words: dict[str, bytes | None]) -> None:
-        """Merge the keys without a value, as many at once as QUEUE_BYTES allows."""
-        batch, size = [], 0
-        for x in [x for x, ids in words.items() if ids is None]:
-            if batch and size + len(x) > QUEUE_BYTES:
-                self._merge_into(batch, words)
-                batch, size = [], 0
-            batch.append(x)
-            size += len(x)
-        if batch:
-            self._merge_into(batch, words)
-
-    def _merge_into(self, batch: list[str], words: dict[str, bytes | None]) -> None:
-        for x, ids in zip(batch, self.merge([x.encode("utf-8") for x in batch])):
-            words[x] = ids
-            if x[0] != " " and len(x) <= CACHED_CHARS:
-                self.words.put(x, ids)
-
-    def encode_all(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, joined, and the n + 1 offsets of the texts in them."""
-        cut, heads, wanted = [], [], {}
-        young = self.pieces.young
-        for text in batch:
-            head, *rest = text.split(" ")
-            found = list(map(young.get, rest))
-            if None in found:
-                if not all(rest) or any(x[0].isspace() for x, y in zip(rest, found) if y is None):
-                    head, *rest = self.split(text)
-                    found = list(map(young.get, rest))
-                for i, y in enumerate(found):
-                    if y is None:
-                        found[i] = self.pieces.get(rest[i])
-                        if found[i] is None:
-                            wanted[rest[i]] = None
-                young = self.pieces.young
-            heads.append(head)
-            cut.append((rest, found))
-        if wanted:
-            wanted = dict(zip(wanted, self.learn(list(wanted))))
-        out = []
-        for head, (rest, found) in zip(self.learn_heads(heads), cut):
-            out.append(b"".join([head, *[wanted[x] if y is None else y for x, y in zip(rest, found)]] if None in found else [head, *found]))
-        return np.frombuffer(b"".join(out), dtype=np.int32), np.cumsum([0, *(len(x) >> 2 for x in out)])
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        lengths = self.lengths[ids]
-        if not len(lengths):
-            return b""
-        ends = np.cumsum(lengths)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.places[ids] - ends + lengths, lengths)].tobytes()
-
-
-_codecs: dict[tuple[int, str], Codec] = {}
+        return _list(np.where(tok[:n] == low, self.size, tok[:n])), _list(now), _list(after), _list(before)
+
+    def learn(self, pieces: list[str], cached: bool = True) -> list[bytes]:
+        """Packed ids of whole pieces. Their pre-tokens that are not cached are merged, as many at once as QUEUE_BYTES allows."""
+        cut = [self.find(x) for x in pieces]
+        known = dict.fromkeys(x for found in cut for x in found)
+        items = [x.encode("utf-8") for x in known]
+        raw = np.frombuffer(b"".join(items), dtype=np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, items), dtype=np.int64, count=len(items)))
+        starts = np.append(0, ends)[:-1]
+        keys = hashed(raw, starts, ends) if cached and len(raw) else np.zeros(len(items), dtype=np.uint64)
+        rows = self.pieces.find(keys) if cached else np.full(len(items), -1)
+        at, size, pool = self.pieces.at, self.pieces.size, self.pieces.pool
+        out: list[bytes] = [pool[at[r] : at[r] + size[r]].tobytes() if r >= 0 else b"" for r in rows.tolist()]
+        missing = np.flatnonzero(rows < 0)
+        lots = np.cumsum(ends[missing] - starts[missing]) // QUEUE_BYTES
+        for lot in np.split(missing, np.flatnonzero(np.diff(lots)) + 1) if len(missing) else ():
+            for i, ids in zip(lot.tolist(), self.merge([items[i] for i in lot.tolist()])):
+                out[i] = ids
+        short = missing[(ends - starts)[missing] <= CACHED_BYTES]
+        if cached and len(short):
+            short = short[np.argsort(keys[short])]
+            self.pieces.add(keys[short], np.frombuffer(b"".join([out[i] for i in short.tolist()]), dtype=np.int32), np.array([len(out[i]) >> 2 for i in short.tolist()]))
+        known = dict(zip(known, out))
+        return [known[found[0]] if len(found) == 1 else b"".join([known[x] for x in found]) for found in cut]
+
+    def encode_all(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (joined bytes and their n + 1 offsets), joined, and the n + 1 offsets of the texts in them."""
+        n = len(raw)
+        if not n:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(offsets), dtype=np.int64)
+        cut = raw == 0x20
+        cut[:-1] &= _STARTS[raw[1:]]
+        cut[offsets[1:][offsets[1:] > 0] - 1] = False
+        cut[offsets[:-1][offsets[:-1] < n]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], n)
+        keys, first, inverse = np.unique(hashed(raw, starts, ends), return_index=True, return_inverse=True)
+        rows = self.pieces.find(keys)
+        known, missing = np.flatnonzero(rows >= 0), np.flatnonzero(rows < 0)
+        size = np.zeros(len(keys), dtype=np.int64)
+        size[known] = self.pieces.size[rows[known]]
+        parts = [self.pieces.pool[_runs(self.pieces.at[rows[known]], size[known])]]
+        at = np.zeros(len(keys), dtype=np.int64)
+        at[known] = np.cumsum(size[known]) - size[known]
+        if len(missing):
+            data = raw.tobytes()
+            a, b = starts[first[missing]], ends[first[missing]]
+            packed = self.learn([data[i:j].decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist())])
+            size[missing] = own = np.fromiter((len(x) >> 2 for x in packed), dtype=np.int64, count=len(packed))
+            ids = np.frombuffer(b"".join(packed), dtype=np.int32)
+            at[missing] = len(parts[0]) + np.cumsum(own) - own
+            parts.append(ids)
+            short = b - a <= CACHED_BYTES
+            self.pieces.add(keys[missing[short]], ids[np.repeat(short, own)], own[short])
+        sizes = size[inverse]
+        out = np.concatenate(parts)[_runs(at[inverse], sizes)]
+        return out, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
+
+    def encode_alone(self, text: str) -> np.ndarray:
+        """Ids of one text, without the cache."""
+        return np.frombuffer(b"".join(self.learn([text], cached=False)), dtype=np.int32)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, joined."""
+        return self.flat[_runs(self.places[ids], self.lengths[ids])]
+
+    def both(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, their offsets and the decoded bytes. Should two pieces share a hash, decoding shows it, and no piece is taken from the cache."""
+        ids, at = self.encode_all(raw, offsets)
+        decoded = self.decode(ids)
+        if not np.array_equal(decoded, raw):
+            data, cuts = raw.tobytes(), offsets.tolist()
+            each = [self.encode_alone(data[a:b].decode("utf-8", "replace")) for a, b in zip(cuts, cuts[1:])]
+            ids, at = np.concatenate(each), np.cumsum([0, *map(len, each)])
+            decoded = self.decode(ids)
+        return ids, at, decoded
 
 
 def codec(ranks: bytes, pattern: str) -> Codec:
     """One codec per worker process and vocabulary."""
-    key = hash(ranks), pattern
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
+    return resident(("bpe", hash(ranks), pattern), lambda: Codec(ranks, pattern))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -331,21 +363,20 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(blob.value, pattern)
         for batch in batches:
-            for part in slices(batch, 1):
-                got, at = own.encode_all([text or "" for text in part.column(1).to_pylist()])
+            for part in slices(batch, 1, ENCODED_BYTES):
+                got, at, data = own.both(*utf8(part.column(1)))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got))
                 joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pc.cast(lists.values, pa.string())), " ")
                 ends = np.concatenate([[0], np.cumsum(own.lengths[got])])[at].tolist()
-                data = memoryview(own.decode(got))
+                view = memoryview(data)
                 digests = [hashlib.sha256(x).hexdigest() for x in texts(joined)]
-                decoded = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+                decoded = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
                 columns = [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 if ids:
                     columns.append(lists)
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
-        give_back()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, schema)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), go, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,7 +394,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(blob.value, pattern)
         for batch in batches:
-            text = [None if x is None else own.decode(np.array(x, dtype=np.int64)).decode("utf-8", "replace") for x in batch.column(0).to_pylist()]
+            text = [None if x is None else own.decode(np.array(x, dtype=np.int64)).tobytes().decode("utf-8", "replace") for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(text, pa.string())], [*kept, "text"])
 
-    return frame.mapInArrow(go, schema)
+    return mapped(frame, go, schema)

@@ -5,8 +5,11 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
 
+from folioflow.llm.common import restored, utf8
 from folioflow.llm import bpe, chat, decontaminate, htmltext, langid, neardup, quality, secretscan, substring, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,11 +34,45 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(9, "SAT on the mat and then it ran away from"), (None, "away from the"), (8, None), (7, "...")], "item_id bigint, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(docs(spark), items).collect()}
     assert (got[1].n_words, got[1].n_hit, got[1].n_items) == (14, 11, 1)
+    assert ROWS[0][1][slice(*map(int, got[1].spans.split(":")))] == "sat on the mat and then it ran away from the"
     assert not got[2].contaminated and got[None].n_words == 0
     split = decontaminate.contamination(docs(spark), items, limit=1).collect()
     assert sorted(map(str, split)) == sorted(map(str, decontaminate.contamination(docs(spark), items).collect()))
 
 
+def test_decontamination_against_brute_force(spark):
+    draw = random.Random(11)
+    some = lambda k: "".join(draw.choice(("Ab", "c", "dé", "7")) + draw.choice((" ", ", ", "\n")) for _ in range(k))
+    items = [(i, some(draw.choice((0, 3, 9, 10, 14)))) for i in range(60)]
+    texts = [(i, some(60)) for i in range(30)]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"), size=6).collect()}
+    for i, text in texts:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        w, places = word.findall(low), [m.span() for m in word.finditer(low)]
+        hit, found = set(), set()
+        for k, item in items:
+            x = word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in item))
+            for j in range(max(1, len(x) - 5) if x else 0):
+                run = x[j : j + 6]
+                for p in range(len(w) - len(run) + 1):
+                    if w[p : p + len(run)] == run:
+                        hit |= set(range(p, p + len(run)))
+                        found.add(str(k))
+        spans = [(places[p][0], p) for p in sorted(hit) if p - 1 not in hit]
+        ends = [places[p][1] for p in sorted(hit) if p + 1 not in hit]
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items) == (len(w), len(hit), len(found))
+        assert got[i].spans == ",".join(f"{a}:{b}" for (a, _), b in zip(spans, ends))
+
+
+def test_decontamination_by_a_large_benchmark_is_one_scan(spark):
+    items = spark.range(1000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.lit("w"), ((F.col("id") * 300 + i) % 100_003).cast("string"))), " ").alias("text"))
+    assert items.select(F.sum(F.length("text"))).head()[0] > 1_900_000
+    got = decontaminate.contamination(docs(spark, [(1, " ".join(f"w{i}" for i in range(295, 315))), (2, "w1 w3")]), items)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: r.n_hit for r in got.collect()} == {1: 20, 2: 0}
+
+
 def test_quality_counts(spark):
     text = "a b c d e f\na b c d e f\n#x% y\n"
     got = quality.rules(docs(spark, [(1, text), (2, None)]), quality.fit(docs(spark), docs(spark).select("doc_id"))).orderBy("doc_id").collect()
@@ -118,6 +155,57 @@ def test_secrets(spark):
     assert got[1].spans == "" and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_by_owner(spark):
+    own, example = "aB3dE6gH9" * 4, "zY8xW5vU2" * 4
+    rows = [(i, f"key {example} é", f"owner{i}/repo") for i in range(6)] + [(10, f"é {own} and {example}", "me/a"), (11, own, "me/b"), (11, own, "me/b"), (None, f"token={own}", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {(r.doc_id, r.spans): r for r in secretscan.scan(frame).collect()}
+    assert got[10, f"owned:2:{2 + len(own)}"].n_example == 1 and got[11, f"owned:0:{len(own)}"].n_owned == 1
+    assert got[None, f"assign:0:{6 + len(own)}"].n_owned == 0  # a base span covers it
+    assert all(got[i, ""].n_example == 1 for i in range(6))
+
+
+def test_secrets_of_long_texts_against_brute_force(spark):
+    draw = random.Random(3)
+    pieces = ["é漢 ", "token=abcdef ", "AKIA" + "A" * 20 + " ", "deadbeef" * 4 + "\n", "password: x ", "x secret='" + "q" * 9 + "' "]
+    texts = ["".join(draw.choices(pieces, k=k)) for k in (0, 1, 40, 3000, 20_000)]
+    kinds = (("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    got = secretscan.scan(docs(spark, list(enumerate(texts)))).select("*", F.lit(0)).collect()
+    shown = secretscan.scan(docs(spark, list(enumerate(texts))), keep=True)
+    out = {r.doc_id: r.t for r in shown.select("doc_id", secretscan.masked(F.col("text"), F.col("found")).alias("t")).collect()}
+    for r in got:
+        want = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(kinds) for m in re.finditer(p, texts[r.doc_id]) if len(m.group(g)) >= n)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+        masked, at = "", 0
+        for a, k, b in want:
+            if a >= at:
+                masked += texts[r.doc_id][at:a] + f"<{kinds[k][0]}>"
+            at = max(at, b)
+        assert out[r.doc_id] == masked + texts[r.doc_id][at:]
+
+
+def test_clashing_columns(spark):
+    """Columns of documents with the operators' own names are carried along as they are."""
+    clash = [c for c in "n_words score kept row n_hit spans found size c0 there gone c".split()]
+    frame = docs(spark).select("doc_id", *[F.lit(f"own {c}").alias(c) for c in clash], "text", F.col("source"))
+    want = sorted(map(str, map(tuple, frame.collect())))
+    ratio = quality.fit(frame, frame.select("doc_id"))
+    items = spark.createDataFrame([(1, "no such words")], "item_id bigint, text string")
+    for got in (quality.rules(frame, ratio, keep=True), decontaminate.contamination(frame, items, keep=True), secretscan.scan(frame, keep=True)):
+        assert sorted(map(str, map(tuple, restored(got, frame.columns).collect()))) == want
+
+
+def test_empty_tables(spark):
+    none = docs(spark, []).withColumn("lang", F.lit("en"))
+    items = spark.createDataFrame([], "item_id bigint, text string")
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    turns = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    ratio = quality.fit(none, none.select("doc_id"))
+    results = [langid.predict(none, langid.train(none)), decontaminate.contamination(none, items), secretscan.scan(none), quality.rules(none, ratio), neardup.near_duplicates(none), substring.passages(none), chat.perspectives(turns), htmltext.extract(pages), warc.round_trip(pages)]
+    assert [r.count() for r in results] == [0] * len(results)
+    assert not decontaminate.contamination(docs(spark), items).where("contaminated").count()
+
+
 def test_html(spark):
     page = "<body><nav>menu</nav><div class='ad'>buy</div><article><h1>T&amp;t</h1><p>One\n two<br><p>Three</p><div class=comments><p>no</p></div></article><footer>f</footer>"
     frame = spark.createDataFrame([(1, "http://a.b/", page), (2, None, None)], "page_id bigint, url string, html string")
@@ -173,6 +261,6 @@ def test_bpe_codec_equals_tiktoken_on_repetitive_texts():
         own = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
         own.low = min(own.low, low)
         for _ in range(2):
-            ids, at = own.encode_all(some)
+            ids, at = own.encode_all(*utf8(pa.array(some)))
             assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [like.encode_ordinary(x) for x in some]
-            assert own.decode(ids) == "".join(some).encode()
+            assert own.decode(ids).tobytes() == "".join(some).encode()
