@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, run_in_arrow, utf8, words
+from .common import mix, resident, run_in_arrow, utf8, words
 
 #: Longest n-gram in characters.
 ORDER = 5
@@ -24,6 +25,8 @@ TUNE_DOCS, MAX_LANGS = 50, 10_000
 WORD_CHARS = 64
 #: Text bytes scored at once; a longer text is scored alone.
 SCORED_BYTES = 1 << 19
+#: Numbers that a worker's cache of scored words holds.
+CACHED_SCORES = 2_000_000
 
 _START, _END = 1, 2
 
@@ -162,27 +165,57 @@ def score_words(model: Model, items: list[str]) -> tuple[np.ndarray, np.ndarray]
     return out, np.diff(np.append(starts, len(predicted)))
 
 
-def score_texts(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Scored:
+    """What score_words gave for words, by the hash of their bytes. It bounds memory only: other words are scored anew."""
+
+    def __init__(self, model: Model):
+        self.most = CACHED_SCORES // (len(model.langs) + 1)
+        self.keys, self.asked = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+        self.scores = np.zeros((0, len(model.langs) + 1), dtype=np.float32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        rows = _find(self.keys, keys)
+        self.asked[rows[rows >= 0]] = True
+        return rows
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        if len(self.keys) + len(keys) > self.most:  # keep what was asked for since the last time, or nothing if that is nearly all
+            keep = self.asked & (self.asked.sum() < 3 * self.most // 4)
+            self.keys, self.scores, self.asked = self.keys[keep], self.scores[keep], np.zeros(keep.sum(), dtype=bool)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.asked = np.insert(self.keys, place, keys), np.insert(self.asked, place, False)
+        self.scores = np.insert(self.scores, place, scores, axis=0)
+
+
+def score_texts(model: Model, raw: np.ndarray, offsets: np.ndarray, known: Scored | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Mean log-probability of each text's symbols in each language, and the number of symbols. Each distinct word is scored once."""
     starts, ends, hashes, at = words(raw, offsets)
-    n = len(offsets) - 1
+    n, n_langs = len(offsets) - 1, len(model.langs)
     if not len(hashes):
-        return np.zeros((n, len(model.langs))), np.zeros(n, dtype=np.int64)
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    data = raw.tobytes()
-    items, owner = [], []
-    for i, f in enumerate(first.tolist()):
-        word = data[starts[f] : ends[f]].decode("utf-8")
-        for a in range(0, len(word), WORD_CHARS):
-            items.append(word[a : a + WORD_CHARS])
-            owner.append(i)
-    sums, counts = score_words(model, items)
-    word_sums = np.zeros((len(first), len(model.langs)))
-    np.add.at(word_sums, owner, sums)
-    word_counts = np.bincount(owner, weights=counts, minlength=len(first))
-    total = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(word_sums[inverse], axis=0)])[at]
-    symbols = np.diff(np.concatenate([[0], np.cumsum(word_counts[inverse])])[at])
-    return np.diff(total, axis=0) / np.maximum(symbols, 1)[:, None], symbols.astype(np.int64)
+        return np.zeros((n, n_langs)), np.zeros(n, dtype=np.int64)
+    keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    rows = known.find(keys) if known is not None else np.full(len(keys), -1)
+    scores = np.zeros((len(keys), n_langs + 1), dtype=np.float32)
+    scores[rows >= 0] = known.scores[rows[rows >= 0]] if known is not None else 0
+    missing = np.flatnonzero(rows < 0)
+    if len(missing):
+        data = raw.tobytes()
+        items, owner = [], []
+        for i, f in enumerate(first[missing].tolist()):
+            word = data[starts[f] : ends[f]].decode("utf-8")
+            for a in range(0, len(word), WORD_CHARS):
+                items.append(word[a : a + WORD_CHARS])
+                owner.append(i)
+        sums, counts = score_words(model, items)
+        new = np.zeros((len(missing), n_langs + 1))
+        np.add.at(new, owner, np.concatenate([sums, counts[:, None]], axis=1))
+        scores[missing] = new
+        if known is not None:
+            known.add(keys[missing], scores[missing])
+    total = np.concatenate([np.zeros((1, n_langs + 1)), np.cumsum(scores[inverse], axis=0, dtype=np.float64)])[at]
+    each = np.diff(total, axis=0)
+    symbols = np.rint(each[:, -1]).astype(np.int64)
+    return each[:, :-1] / np.maximum(symbols, 1)[:, None], symbols
 
 
 def posterior(model: Model, means: np.ndarray, symbols: np.ndarray, sharpness: float | None = None) -> np.ndarray:
@@ -254,14 +287,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     calibrated probability. `accepted` is false where the cross-entropy or the score says that no learned language fits. A
     null text, or one without a letter, is `und` with score 0 and a null cross-entropy. Rows pass through unshuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     key = docs.schema[id_col].dataType.simpleString()
 
     def each(part: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
         n = part.num_rows
         if own.langs:
-            means, symbols = score_texts(own, *utf8(part.column(2)))
+            means, symbols = score_texts(own, *utf8(part.column(2)), resident(("langid", token), lambda: Scored(own)))
             best = means.argmax(axis=1)
             score = np.where(symbols > 0, posterior(own, means, symbols)[np.arange(n), best], 0.0)
             entropy = np.where(symbols > 0, -means[np.arange(n), best], np.nan)
