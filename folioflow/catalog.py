@@ -14,7 +14,7 @@ from .operators.islands import ordered
 from .sources import dialogue_pages, marked_lines, order_cells, printed_lines, read, stored_files
 from .streaming import latest_status as last_status
 
-FLAGSHIP = "doc_stats"
+FLAGSHIP = "convert_documents"
 
 #: Pieces of SQL that the statements below share.
 _WS = T.WS
@@ -37,6 +37,10 @@ _CORE = r"regexp_replace(regexp_replace(trim(text), '^[()\[\]{}%$€£+-]+', '')
 _IS_SHORT = rf"(length(trim(text)) BETWEEN 1 AND 24 AND NOT contains(trim(text), ' ') AND regexp_matches({_CORE}, '^([0-9]+|[0-9]*\.[0-9]+|[A-Za-z0-9]+)$'))"
 _IS_SENT = r"(len(regexp_split_to_array(trim(text), '\s+')) >= 5 AND regexp_matches(trim(text), '[.!?…]+$'))"
 
+_IS_PROSE = rf"""(length({_TRIM('text')}) > 60 OR (len(regexp_split_to_array({_TRIM('text')}, '{_WS}+')) >= 4 AND length({_TRIM('text')}) > 40
+  AND len(list_filter(regexp_split_to_array(lower({_TRIM('text')}), '{_WS}+'), lambda x: regexp_replace(x, '[^a-z]', '', 'g') IN {T.CELL_WORDS})) >= 0.15 * len(regexp_split_to_array({_TRIM('text')}, '{_WS}+')))
+  OR (len(regexp_split_to_array({_TRIM('text')}, '{_WS}+')) >= 5 AND regexp_matches({_TRIM('text')}, '^[A-Z]') AND length(regexp_replace(text, '{_WS}', '', 'g')) >= 3.5 * len(regexp_split_to_array({_TRIM('text')}, '{_WS}+'))))"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -114,15 +118,15 @@ WITH {_LINES}, x AS (SELECT *, {_TRIM('raw')} AS now, lag({_TRIM('raw')}) OVER w
 y AS (SELECT *, coalesce(length(now) BETWEEN 1 AND 45 AND NOT regexp_matches(now, '^#') AND NOT regexp_matches(now, '^[-*0-9]+[.)]\s') AND length(before) > 0 AND NOT regexp_matches(now, '^[A-Z]')
   AND (NOT regexp_matches(before, '[.!?:;]$') OR regexp_matches(now, '^[a-z]')), false) AS g FROM x),
 z AS (SELECT *, sum(CASE WHEN g THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM y),
-u AS (SELECT doc_id, island, string_agg(CASE WHEN g THEN now ELSE raw END, ' ' ORDER BY line_no) AS line FROM z GROUP BY doc_id, island)
+u AS (SELECT doc_id, island, CASE WHEN count(*) > 1 THEN string_agg(now, ' ' ORDER BY line_no) ELSE min(raw) END AS line FROM z GROUP BY doc_id, island)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY island) AS text FROM u GROUP BY doc_id""")
 def defragment_lines(spark, d):
     return lines.defragment(marked_lines(_docs(spark, d)))
 
 
 @_query(rf"""
-WITH {_LINES}, x AS (SELECT *, regexp_matches({_TRIM('raw')}, '^[{T.BULLETS}]$') AS lone, lead({_TRIM('raw')}) OVER w AS after FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-y AS (SELECT *, coalesce(lone AND length(after) > 0 AND NOT regexp_matches(after, '^[{T.BULLETS}0-9]'), false) AS takes FROM x),
+WITH {_LINES}, x AS (SELECT *, regexp_matches({_TRIM('raw')}, '^[{T.BULLETS}*-]$') AS lone, lead({_TRIM('raw')}) OVER w AS after FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+y AS (SELECT *, coalesce(lone AND length(after) > 0 AND NOT regexp_matches(after, '^[{T.BULLETS}0-9*-]'), false) AS takes FROM x),
 z AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS gone FROM y)
 SELECT doc_id, string_agg(CASE WHEN takes THEN '- ' || after ELSE raw END, chr(10) ORDER BY line_no) AS text FROM z WHERE NOT gone GROUP BY doc_id""")
 def merge_bullet_lines(spark, d):
@@ -139,9 +143,9 @@ def _whole(spark, d):
 @_query(rf"""
 WITH {_WHOLE}, r AS (SELECT doc_id, line_no, regexp_matches({_TRIM('raw')}, '^\|.+\|$') AS x FROM m),
 s AS (SELECT doc_id, sum(CASE WHEN x AND NOT coalesce(b, false) THEN 1 ELSE 0 END) AS tables FROM (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM r) GROUP BY doc_id)
-SELECT j.doc_id, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(t, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '[#*_`~|]', ' ', 'g'), '[A-Za-z0-9_]+')) AS words,
-  len(regexp_extract_all(t, '(?m)^#+[ \t]+.+$')) AS headings, CAST(tables AS BIGINT) AS tables,
-  len(regexp_extract_all(t, '(?m)^[ \t]*[-*+][ \t]+.+$')) + len(regexp_extract_all(t, '(?m)^[ \t]*[0-9]+\.[ \t]+.+$')) AS list_items, len(regexp_extract_all(t, '!\[[^\]]*\]\([^)]*\)')) AS images
+SELECT j.doc_id, len(regexp_extract_all(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^#+{_WS}+', '', 'g'), '[*_`~]', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '!\[[^\]]*\]\([^)]+\)', '', 'g'), '|', ' '), '[A-Za-z0-9_]+')) AS words,
+  len(regexp_extract_all(t, '(?m)^#+{_WS}+.+$')) AS headings, CAST(tables AS BIGINT) AS tables,
+  len(regexp_extract_all(t, '(?m)^{_WS}*[-*+]{_WS}+.+$')) + len(regexp_extract_all(t, '(?m)^{_WS}*[0-9]+[.)]{_WS}+.+$')) AS list_items, len(regexp_extract_all(t, '!\[[^\]]*\]\([^)]+\)')) AS images
 FROM j JOIN s ON j.doc_id = s.doc_id""")
 def doc_stats(spark, d):
     return lines.statistics(_whole(spark, d))
@@ -156,19 +160,29 @@ def validate_markdown(spark, d):
     return lines.validate(_whole(spark, d))
 
 
-@_query(f"WITH {_CELLS} SELECT grid, r, c, {_IS_SHORT} AS short, {_IS_NUMERIC} AS num, {_IS_SENT} AS sent FROM g")
+@_query(f"WITH {_CELLS} SELECT grid, r, c, {_IS_SHORT} AS short, {_IS_NUMERIC} AS num, {_IS_SENT} AS sent, {_IS_PROSE} AS prose FROM g")
 def cell_classes(spark, d):
     c = F.col("text")
-    return order_cells(read(spark, d, "lineitem")).select("grid", "r", "c", T.is_short_token(c).alias("short"), T.is_numeric(c).alias("num"), T.is_sentence(c).alias("sent"))
+    return order_cells(read(spark, d, "lineitem")).select("grid", "r", "c", T.is_short_token(c).alias("short"), T.is_numeric(c).alias("num"), T.is_sentence(c).alias("sent"), T.is_prose_fragment(c).alias("prose"))
+
+
 
 
 @_query(f"""
-WITH {_CELLS}, w AS (SELECT grid, r, count(*) AS width, sum(CAST(length(trim(text)) > 0 AS INTEGER)) AS f, sum(CAST({_IS_SHORT} AS INTEGER)) AS s, sum(CAST({_IS_NUMERIC} AS INTEGER)) AS n, sum(CAST({_IS_SENT} AS INTEGER)) AS e, sum(length(trim(text))) AS ln, max(length(trim(text))) AS mx FROM g GROUP BY grid, r),
-p AS (SELECT grid, count(*) AS n_rows, max(width) AS n_cols, CAST(sum(f) AS BIGINT) AS non_empty, CAST(sum(s) AS BIGINT) AS short_cells, CAST(sum(n) AS BIGINT) AS numeric_cells, CAST(sum(e) AS BIGINT) AS sentence_cells, CAST(sum(ln) AS BIGINT) AS total_len, max(mx) AS max_len FROM w GROUP BY grid)
-SELECT *, n_rows >= 2 AND n_cols >= 2 AND non_empty > 0 AND non_empty >= 0.25 * n_rows * n_cols AND (short_cells >= 0.15 * non_empty OR numeric_cells > 0 OR (n_rows >= 4 AND n_cols >= 3 AND total_len <= 30 * non_empty))
-  AND (sentence_cells < 0.4 * non_empty OR numeric_cells >= 0.2 * non_empty OR short_cells >= 0.3 * non_empty) AS is_table FROM p""")
+WITH {_CELLS}, k2 AS (SELECT grid, r, length(trim(text)) AS ln, CAST(length(trim(text)) > 0 AS INTEGER) AS f, CAST({_IS_SHORT} AS INTEGER) AS s, CAST({_IS_NUMERIC} AS INTEGER) AS n, CAST({_IS_SENT} AS INTEGER) AS e, CAST({_IS_PROSE} AS INTEGER) AS o FROM g),
+w AS (SELECT grid, r, count(*) AS width, sum(f) AS f, sum(s) AS s, sum(n) AS n, sum(e) AS e, sum(o) AS o, sum(ln) AS ln, max(ln) AS mx FROM k2 GROUP BY grid, r),
+p AS (SELECT grid, count(*) AS n_rows, max(width) AS n_cols, CAST(sum(f) AS BIGINT) AS non_empty, CAST(sum(s) AS BIGINT) AS short_cells, CAST(sum(n) AS BIGINT) AS numeric_cells, CAST(sum(e) AS BIGINT) AS sentence_cells, CAST(sum(o) AS BIGINT) AS prose_cells, CAST(sum(ln) AS BIGINT) AS total_len, max(mx) AS max_len, min(width) = max(width) AS even FROM w GROUP BY grid),
+q AS (SELECT *, sentence_cells / non_empty AS rs, prose_cells / non_empty AS rp, total_len / non_empty AS mean FROM p),
+v AS (SELECT * EXCLUDE (even, rs, rp, mean), n_rows * 1.0 + n_cols * 0.8 + 3 * short_cells / non_empty + 2 * numeric_cells / non_empty
+  - CASE WHEN rs > 0.8 THEN 4 * rs WHEN rs > 0.4 THEN 2 * rs ELSE 0 END - CASE WHEN rp > 0.5 THEN 6 * rp WHEN rp > 0.3 THEN 3 * rp WHEN rp > 0.15 THEN 1.5 * rp ELSE 0 END
+  - CASE WHEN greatest(rs, rp) > 0.6 AND short_cells + numeric_cells < 0.3 * non_empty THEN 5 ELSE 0 END - CASE WHEN mean > 80 THEN 4 WHEN mean > 50 THEN 2 ELSE 0 END - CASE WHEN max_len > 100 THEN 2 ELSE 0 END
+  + CASE WHEN n_rows >= 4 AND n_cols >= 3 AND prose_cells < 0.3 * non_empty THEN 2 ELSE 0 END + CASE WHEN even THEN 1.5 ELSE 0 END + CASE WHEN non_empty >= 0.6 * n_rows * n_cols THEN 1 ELSE 0 END AS score FROM q)
+SELECT * REPLACE (round(score, 6) AS score), n_rows >= 2 AND n_cols >= 2 AND non_empty > 0 AND non_empty >= 0.25 * n_rows * n_cols AND score >= 2
+  AND (total_len <= 60 * non_empty OR short_cells + numeric_cells >= 0.5 * non_empty) AND (max_len <= 80 OR total_len <= 40 * non_empty OR short_cells + numeric_cells >= 0.4 * non_empty)
+  AND (short_cells >= 0.15 * non_empty OR numeric_cells > 0 OR (n_rows >= 4 AND n_cols >= 3 AND total_len <= 30 * non_empty))
+  AND (sentence_cells < 0.4 * non_empty OR numeric_cells >= 0.2 * non_empty OR short_cells >= 0.3 * non_empty) AS is_table FROM v""")
 def grid_profiles(spark, d):
-    return grids.passes(grids.profile(order_cells(read(spark, d, "lineitem")), "grid", "r", "c", "text"))
+    return grids.passes(grids.profile(order_cells(read(spark, d, "lineitem")), "grid", "r", "c", "text")).withColumn("score", F.round("score", 6))
 
 
 _COLUMNS = f"""q AS (SELECT grid, c, CAST(least(greatest(max(length(text)), 3), 50) AS BIGINT) AS width,
@@ -182,7 +196,7 @@ def grid_columns(spark, d):
 
 @_query(f"""
 WITH {_CELLS}, {_COLUMNS}, v AS (SELECT g.grid, g.r, g.c, CASE WHEN alignment = 'right' THEN repeat(' ', greatest(width - length(text), 0)) || text ELSE text || repeat(' ', greatest(width - length(text), 0)) END AS v,
-  repeat('-', width) || CASE WHEN alignment = 'right' THEN ':' ELSE '' END AS d FROM g JOIN q ON g.grid = q.grid AND g.c = q.c),
+  CASE WHEN alignment = 'right' THEN repeat('-', width - 1) || ':' ELSE repeat('-', width) END AS d FROM g JOIN q ON g.grid = q.grid AND g.c = q.c),
 l AS (SELECT grid, r, '| ' || string_agg(v, ' | ' ORDER BY c) || ' |' || CASE WHEN r = 0 THEN chr(10) || '| ' || string_agg(d, ' | ' ORDER BY c) || ' |' ELSE '' END AS line FROM v GROUP BY grid, r)
 SELECT grid, string_agg(line, chr(10) ORDER BY r) AS markdown FROM l GROUP BY grid""")
 def table_markdown(spark, d):
@@ -197,39 +211,50 @@ def bordered_tables(spark, d):
     return grids.bordered_runs(marked_lines(_docs(spark, d)))
 
 
-@_query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), p AS (SELECT doc_id, s, len(list_filter(regexp_split_to_array(trim(s), '[ \t]{2,}|\|'), lambda x: length(x) > 0)) AS n FROM (SELECT DISTINCT doc_id, s FROM l))
-SELECT doc_id, s AS line, least((CASE WHEN contains(s, '|') THEN 3 ELSE 0 END) + (CASE WHEN n >= 2 THEN 2 ELSE 0 END) + (CASE WHEN n >= 4 THEN 1 ELSE 0 END) + (CASE WHEN len(regexp_extract_all(s, '[0-9]+')) >= 3 THEN 2 ELSE 0 END)
-  + (CASE WHEN regexp_matches(s, '\t| {3}') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(s, '[$€£¥%]') THEN 1 ELSE 0 END), 10) / 10 AS score FROM p""")
-def table_likelihood(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).distinct().select("doc_id", "line", T.table_likelihood(F.col("line")).alias("score"))
+_SPLIT = lambda c: f"CASE WHEN regexp_replace({c}, '{_WS}+$', '') = '' THEN [''] WHEN regexp_matches(regexp_replace({c}, '{_WS}+$', ''), '[ \\t]{{3,}}') THEN regexp_split_to_array(regexp_replace({c}, '{_WS}+$', ''), '[ \\t]{{3,}}') ELSE regexp_split_to_array(regexp_replace({c}, '{_WS}+$', ''), '[ \\t]{{2,}}') END"
+_SPACED = f"{_LINES}, sp AS (SELECT DISTINCT doc_id, replace(replace(raw, ' an', '   an'), 'e ', 'e  12,5 ') AS s FROM m)"
 
 
-_PAGES = "pg AS (SELECT conv_id AS doc_id, turn AS page_no, 'Report ' || CAST(conv_id AS VARCHAR) || chr(10) || text || chr(10) || 'Page ' || CAST(turn AS VARCHAR) AS text FROM conversations)"
-_RUNNING = f"""fl AS (SELECT doc_id, page_no, list_filter(string_split(text, chr(10)), lambda s: length({_TRIM('s')}) > 0) AS ls FROM pg),
-ht AS (SELECT doc_id, 'header' AS kind, CAST(i - 1 AS INTEGER) AS place, ls[i] AS s FROM (SELECT doc_id, ls, unnest(range(1, least(len(ls), 3) + 1)) AS i FROM fl)
-  UNION ALL SELECT doc_id, 'footer', CAST(i - 1 AS INTEGER), ls[len(ls) - i + 1] FROM (SELECT doc_id, ls, unnest(range(1, least(len(ls), 3) + 1)) AS i FROM fl)),
-tt AS (SELECT doc_id, count(*) AS total FROM pg GROUP BY doc_id HAVING count(*) >= 3),
-rl AS (SELECT doc_id, kind, place, {_NORM('s')} AS pattern, count(*) AS n_pages FROM ht GROUP BY ALL),
-pt AS (SELECT rl.doc_id, kind, place, pattern, n_pages FROM rl JOIN tt ON rl.doc_id = tt.doc_id WHERE n_pages >= 0.5 * total)"""
+def _spaced(spark, d):
+    wide = F.replace(F.replace("raw", F.lit(" an"), F.lit("   an")), F.lit("e "), F.lit("e  12,5 "))
+    return marked_lines(_docs(spark, d)).select("doc_id", wide.alias("line")).distinct()
 
 
-@_query(f"WITH {_PAGES}, {_RUNNING} SELECT * FROM pt")
-def header_footer_patterns(spark, d):
-    return lines.running_lines(dialogue_pages(read(spark, d, "conversations")), "doc_id", "page_no", "text")
+@_query(rf"""
+WITH {_SPACED}, p AS (SELECT doc_id, s, len({_SPLIT('s')}) AS n FROM sp)
+SELECT doc_id, s AS line, least((CASE WHEN contains(s, '|') THEN 3 ELSE 0 END) + (CASE WHEN n >= 2 THEN 2 ELSE 0 END) + (CASE WHEN n >= 4 THEN 1 ELSE 0 END) + (CASE WHEN len(regexp_extract_all(s, '[0-9]+([,.0-9]*)?')) >= 3 THEN 2 ELSE 0 END)
+  + (CASE WHEN regexp_matches(s, '\t|{_WS}{{3}}') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(s, '[$€£%]') THEN 1 ELSE 0 END), 10) / 10 AS score FROM p""")
+def table_likelihood(spark, d):
+    return _spaced(spark, d).select("doc_id", "line", T.table_likelihood(F.col("line")).alias("score"))
 
 
-@_query()
-def remove_headers_footers(spark, d):
-    pages = dialogue_pages(read(spark, d, "conversations"))
-    return lines.remove_running_lines(pages, lines.running_lines(pages, "doc_id", "page_no", "text"), "doc_id", "page_no", "text")
+@_query(rf"WITH {_SPACED} SELECT doc_id, s AS line, array_to_string({_SPLIT('s')}, '¬') AS cells, CAST(len({_SPLIT('s')}) AS INTEGER) AS n_cells FROM sp")
+def split_cells(spark, d):
+    cells = T.split_cells(F.col("line"))
+    return _spaced(spark, d).select("doc_id", "line", F.array_join(cells, "¬").alias("cells"), F.size(cells).alias("n_cells"))
 
 
-@_query()
-def math_flags(spark, d):
-    t = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "aeo", "αεω")).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" x² ≤ y"))).otherwise(F.col("text"))
-    c = F.col("t")
-    return _docs(spark, d).withColumn("t", t).select("doc_id", F.round(T.math_density(c), 6).alias("density"), T.contains_math(c).alias("has_math"), T.is_garbled(c).alias("garbled"))
+_PAGES = "pg AS (SELECT conv_id AS doc_id, turn AS page_no, 'Report ' || CAST(conv_id AS VARCHAR) || chr(10) || text || chr(10) || 'Page ' || CAST(turn AS VARCHAR) AS text FROM conversations)"
+_RUNNING = f"""fl AS (SELECT doc_id, page_no, list_filter(string_split(text, chr(10)), lambda s: length({_TRIM('s')}) > 0) AS ls FROM pg),
+ht AS (SELECT doc_id, page_no, 'header' AS kind, CAST(i - 1 AS INTEGER) AS place, ls[i] AS s FROM (SELECT doc_id, page_no, ls, unnest(range(1, least(len(ls), 3) + 1)) AS i FROM fl)
+  UNION ALL SELECT doc_id, page_no, 'footer', CAST(i - 1 AS INTEGER), ls[len(ls) - i + 1] FROM (SELECT doc_id, page_no, ls, unnest(range(1, least(len(ls), 3) + 1)) AS i FROM fl)),
+tt AS (SELECT doc_id, count(*) AS total FROM pg GROUP BY doc_id HAVING count(*) >= 3),
+rn AS (SELECT ht.doc_id, kind, place, page_no, {_NORM('s')} AS q, total FROM ht JOIN tt ON ht.doc_id = tt.doc_id),
+rq AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, place ORDER BY page_no) AS i FROM rn WHERE q <> ''),
+rc AS (
+  SELECT doc_id, kind, place, total, i, [{{'p': q, 'n': 1}}] AS st FROM rq WHERE i = 1
+  UNION ALL
+  SELECT doc_id, kind, place, total, i, CASE WHEN k IS NULL OR k = 0 THEN list_append(st, {{'p': q, 'n': 1}}) ELSE list_transform(st, lambda x, j: CASE WHEN j = k THEN {{'p': x.p, 'n': x.n + 1}} ELSE x END) END
+  FROM (SELECT rq.*, rc.st, list_position(list_transform(rc.st, lambda x: len(list_intersect(regexp_split_to_array(x.p, '{_WS}+'), regexp_split_to_array(q, '{_WS}+'))) >= 0.8 * len(list_distinct(list_concat(regexp_split_to_array(x.p, '{_WS}+'), regexp_split_to_array(q, '{_WS}+'))))), true) AS k
+    FROM rc JOIN rq ON rq.doc_id = rc.doc_id AND rq.kind = rc.kind AND rq.place = rc.place AND rq.i = rc.i + 1)),
+rz AS (SELECT doc_id, kind, place, total, arg_max(st, i) AS st FROM rc GROUP BY ALL),
+rl AS (SELECT doc_id, kind, place, total, unnest(st) AS u FROM rz),
+pt AS (SELECT doc_id, kind, place, u.p AS pattern, CAST(u.n AS BIGINT) AS n_pages FROM rl WHERE u.n >= 0.5 * total)"""
+
+
+@_query(f"WITH RECURSIVE {_PAGES}, {_RUNNING} SELECT * FROM pt")
+def header_footer_patterns(spark, d):
+    return lines.running_lines(dialogue_pages(read(spark, d, "conversations")), "doc_id", "page_no", "text")
 
 
 @_query(f"WITH {_FILES} SELECT project_id, count(*) AS n_files FROM f GROUP BY project_id")
@@ -301,7 +326,7 @@ def _latex_sql() -> str:
         t = f"regexp_replace({t}, '([{marks}]+)', '{sign}{{\\1}}', 'g')"
     t = f"translate(translate({t}, '{latex.RAISED[0]}', '{latex.RAISED[1]}'), '{latex.LOWERED[0]}', '{latex.LOWERED[1]}')"
     for mark, command in latex.COMMANDS.items():
-        t = f"replace({t}, '{mark}', '{command} ')"
+        t = "replace({}, '{}', '{} ')".format(t, mark, command.replace("'", "''"))
     return f"SELECT doc_id, trim(regexp_replace({t}, '\\s+', ' ', 'g')) AS latex FROM documents"
 
 

@@ -19,6 +19,7 @@ COMMANDS = {
     "∂": r"\partial", "∞": r"\infty", "∇": r"\nabla", "∫": r"\int", "∬": r"\iint", "∭": r"\iiint", "∮": r"\oint", "∑": r"\sum", "∏": r"\prod", "∐": r"\coprod", "√": r"\sqrt", "∛": r"\sqrt[3]", "∜": r"\sqrt[4]",
     "→": r"\rightarrow", "←": r"\leftarrow", "↔": r"\leftrightarrow", "↑": r"\uparrow", "↓": r"\downarrow", "↦": r"\mapsto", "°": r"^\circ", "Ω": r"\Omega", "Å": r"\text{\AA}", "ℏ": r"\hbar", "ℓ": r"\ell", "ℜ": r"\Re", "ℑ": r"\Im", "ℵ": r"\aleph",
     "⟨": r"\langle", "⟩": r"\rangle", "⌈": r"\lceil", "⌉": r"\rceil", "⌊": r"\lfloor", "⌋": r"\rfloor", "⋯": r"\cdots", "⋮": r"\vdots", "⋱": r"\ddots", "…": r"\ldots",
+    "′": "'", "″": "''", "‴": "'''",
 }
 #: Raised and lowered characters with what they stand for. The last two lowered ones stand for nothing and vanish.
 RAISED = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ", "0123456789+-=()ni")

@@ -24,6 +24,8 @@ def defragment(lines: DataFrame, limit: int = 45, key: str = "doc_id") -> DataFr
     orphan = (F.length(now) > 0) & (F.length(now) <= limit) & ~now.rlike("^#") & ~now.rlike(r"^[-*0-9]+[.)]\s") & (F.length(before) > 0) & ~now.rlike("^[A-Z]")
     merges = F.coalesce(orphan & (~before.rlike(r"[.!?:;]\z") | now.rlike("^[a-z]")), F.lit(False))
     cut = number_islands(lines.withColumn("m", merges), [key], ["line_no"], ~F.col("m"))
+    # A line that another joins is trimmed too.
+    cut = cut.withColumn("m", F.col("m") | F.coalesce(F.lead("m").over(w), F.lit(False)))
     part = F.when(F.col("m"), T.trim(F.col("raw"))).otherwise(F.col("raw"))
     runs = cut.withColumn("part", part).groupBy(key, "island").agg(joined("part", "line_no", " ").alias("line"))
     return runs.groupBy(key).agg(joined("line", "island").alias("text"))
@@ -32,9 +34,9 @@ def defragment(lines: DataFrame, limit: int = 45, key: str = "doc_id") -> DataFr
 def merge_bullets(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """A line that is a lone bullet takes the next line, unless that is blank or an item itself: (key, text)."""
     w = ordered([key], ["line_no"])
-    lone = T.trim(F.col("raw")).rlike(rf"^[{T.BULLETS}]\z")
+    lone = T.trim(F.col("raw")).rlike(rf"^[{T.BULLETS}*-]\z")
     after = T.trim(F.lead("raw").over(w))
-    takes = lone & (F.length(after) > 0) & ~after.rlike(rf"^[{T.BULLETS}0-9]")
+    takes = lone & (F.length(after) > 0) & ~after.rlike(rf"^[{T.BULLETS}0-9*-]")
     flagged = lines.withColumn("takes", F.coalesce(takes, F.lit(False))).withColumn("after", after)
     kept = flagged.withColumn("gone", F.coalesce(F.lag("takes").over(w), F.lit(False))).where("not gone")
     line = F.when(F.col("takes"), F.concat(F.lit("- "), F.col("after"))).otherwise(F.col("raw"))
@@ -44,11 +46,12 @@ def merge_bullets(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Words, headings, tables (runs of pipe rows), list items and images of each Markdown text."""
     c = F.col(text)
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"!\[[^\]]*\]\([^)]*\)", ""), "[#*_`~|]", " ")
+    bare = F.regexp_replace(F.regexp_replace(c, rf"(?dm)^#+{T.WS}+", ""), "[*_`~]", "")
+    bare = F.replace(F.regexp_replace(F.regexp_replace(bare, r"\[([^\]]+)\]\([^)]+\)", "$1"), r"!\[[^\]]*\]\([^)]+\)", ""), F.lit("|"), F.lit(" "))
     rows = F.transform(F.split(c, "\n"), lambda s: T.trim(s).rlike(r"^\|.+\|\z"))
     starts = F.filter(rows, lambda x, i: x & ((i == 0) | ~F.coalesce(F.get(rows, i - 1), F.lit(False))))
     count = lambda pattern: F.regexp_count(c, F.lit(pattern)).cast("bigint")
-    return docs.select(key, F.regexp_count(bare, F.lit("[A-Za-z0-9_]+")).cast("bigint").alias("words"), count(r"(?dm)^#+[ \t]+.+$").alias("headings"), F.size(starts).cast("bigint").alias("tables"), (count(r"(?dm)^[ \t]*[-*+][ \t]+.+$") + count(r"(?dm)^[ \t]*[0-9]+\.[ \t]+.+$")).alias("list_items"), count(r"!\[[^\]]*\]\([^)]*\)").alias("images"))
+    return docs.select(key, F.regexp_count(bare, F.lit("[A-Za-z0-9_]+")).cast("bigint").alias("words"), count(rf"(?dm)^#+{T.WS}+.+$").alias("headings"), F.size(starts).cast("bigint").alias("tables"), (count(rf"(?dm)^{T.WS}*[-*+]{T.WS}+.+$") + count(rf"(?dm)^{T.WS}*[0-9]+[.)]{T.WS}+.+$")).alias("list_items"), count(r"!\[[^\]]*\]\([^)]+\)").alias("images"))
 
 
 def validate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,15 +70,29 @@ def validate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return out.withColumn("passed", passed)
 
 
-def running_lines(pages: DataFrame, key: str, page: str, text: str, depth: int = 3, share: float = 0.5, least: int = 3) -> DataFrame:
-    """(key, kind, place, pattern, n_pages): comparable lines at the same place of at least half of a document's pages."""
+def running_lines(pages: DataFrame, key: str, page: str, text: str, depth: int = 3, share: float = 0.5, least: int = 3, similar: float = 0.8) -> DataFrame:
+    """(key, kind, place, pattern, n_pages): comparable lines at the same place of at least half of a document's pages.
+
+    Pages are taken in order; a line counts for the first pattern that it resembles, or starts one. A document's page ends are
+    gathered (its first and last lines alone), not its text.
+    """
     filled = F.filter(F.split(text, "\n"), lambda s: F.length(T.trim(s)) > 0)
-    base = pages.select(key, page, filled.alias("lines"))
-    head = base.select(key, page, F.lit("header").alias("kind"), F.posexplode(F.slice("lines", 1, depth)).alias("place", "line"))
-    foot = base.select(key, page, F.lit("footer").alias("kind"), F.posexplode(F.slice(F.reverse("lines"), 1, depth)).alias("place", "line"))
-    total = pages.groupBy(key).agg(F.count("*").alias("total")).where(F.col("total") >= least)
-    found = head.unionByName(foot).withColumn("pattern", T.comparable(F.col("line"))).groupBy(key, "kind", "place", "pattern").agg(F.count("*").alias("n_pages"))
-    return found.join(total, key).where(F.col("n_pages") >= share * F.col("total")).select(key, "kind", "place", "pattern", "n_pages")
+    ends = lambda name, lines: F.transform(F.slice(lines, 1, depth), lambda s, i: F.struct(F.lit(name).alias("kind"), i.alias("place"), T.comparable(s).alias("line")))
+    base = pages.select(key, page, F.posexplode_outer(F.concat(ends("header", filled), ends("footer", F.reverse(filled)))).alias("n", "e"))
+    total = F.size(F.collect_set(page))
+    runs = base.groupBy(key).agg(total.alias("total"), F.array_sort(F.collect_list(F.when(F.length("e.line") > 0, F.struct(page, "n", "e")))).alias("ends")).where(F.col("total") >= least)
+    places = F.flatten(F.transform(F.array(F.lit("header"), F.lit("footer")), lambda kind: F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda p: F.struct(kind.alias("kind"), p.alias("place")))))
+    each = runs.select(key, "total", "ends", F.explode(places).alias("p"))
+    lines = F.transform(F.filter("ends", lambda x: (x.e.kind == F.col("p.kind")) & (x.e.place == F.col("p.place"))), lambda x: x.e.line)
+    none = F.expr("cast(array() as array<struct<pattern:string,n:bigint>>)")
+
+    def count(found, line):
+        near = F.array_position(F.transform(found, lambda f: T.jaccard(f.pattern, line) >= similar), F.lit(True))
+        more = F.transform(found, lambda f, i: F.struct(f.pattern.alias("pattern"), (f.n + F.when(i + 1 == near, 1).otherwise(0)).alias("n")))
+        return F.when(near > 0, more).otherwise(F.array_append(found, F.struct(line.alias("pattern"), F.lit(1).cast("bigint").alias("n"))))
+
+    found = each.select(key, "total", "p.kind", "p.place", F.explode(F.aggregate(lines, none, count)).alias("f"))
+    return found.where(F.col("f.n") >= share * F.col("total")).select(key, "kind", "place", "f.pattern", F.col("f.n").alias("n_pages"))
 
 
 def remove_running_lines(pages: DataFrame, patterns: DataFrame, key: str, page: str, text: str, similar: float = 0.8) -> DataFrame:
