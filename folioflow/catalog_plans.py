@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _LINES, _NORM, _PAGES, _RUNNING, _TRIM, _WS, _docs, _query
+from .catalog import _CELLS, _FILES, _IS_NUMERIC, _LINES, _NORM, _PRINTED, _PAGES, _RUNNING, _TRIM, _WS, _docs, _query
 from .functions import text as T
-from .operators import lines
+from .operators import fonts, lines, store
 from .plans import documents, pages
-from .sources import dialogue_pages, marked_lines, mathematical, order_pages, placed_pages, read
+from .sources import dialogue_pages, marked_lines, mathematical, order_cells, order_pages, placed_pages, printed_lines, read, stored_files
 
 _WORDS_OF = lambda c: f"regexp_split_to_array({c}, '{_WS}+')"
 _RESEMBLES = f"len(list_intersect({_WORDS_OF('p')}, {_WORDS_OF(_NORM('x'))})) >= 0.8 * len(list_distinct(list_concat({_WORDS_OF('p')}, {_WORDS_OF(_NORM('x'))})))"
@@ -130,7 +130,8 @@ def detected_tables(spark, d):
 
 @_query()
 def positioned_tables(spark, d):
-    return pages.positioned_tables(placed_pages(_docs(spark, d)), ("doc_id", "page_no"))
+    wide = lambda x: F.struct(x.text.alias("text"), x.y.alias("y"), F.lit(50.0).alias("min_x"), (50 + 7.0 * F.length(x.text)).alias("max_x"), x["size"].alias("size"))
+    return pages.positioned_tables(order_pages(read(spark, d, "lineitem")).withColumn("lines", F.transform("lines", wide)), ("grid",))
 
 
 @_query()
@@ -186,3 +187,89 @@ _CAPTION = _TRIM(r"replace(regexp_replace(html, '([\[\]()])', '\\\1', 'g'), chr(
 @_query(f"SELECT page_id, {_CLEAN} AS cleaned, substr({_CAPTION}, 1, 200) AS caption FROM pages")
 def cleaned_replies(spark, d):
     return read(spark, d, "pages").select("page_id", T.clean_reply(F.col("html")).alias("cleaned"), T.safe_caption(F.col("html")).alias("caption"))
+
+
+@_query(f"""WITH {_FILES}, pr AS (SELECT 'src' || i AS project_id FROM range(0, 25) t(i)), p AS (SELECT project_id, count(*) AS n FROM f GROUP BY project_id)
+SELECT pr.project_id, coalesce(n, 0) AS n_files FROM pr LEFT JOIN p ON pr.project_id = p.project_id""")
+def counts_of_all_projects(spark, d):
+    projects = spark.range(25).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("project_id"))
+    return store.file_counts(projects, stored_files(read(spark, d, "documents")))
+
+
+@_query(f"WITH {_FILES} SELECT CAST(row_number() OVER (ORDER BY size DESC, file_id) AS BIGINT) AS place, file_id, name, status, CAST(CASE WHEN status = 'completed' THEN 100 ELSE 0 END AS BIGINT) AS progress FROM f WHERE project_id = 'src2'")
+def files_of_project(spark, d):
+    return store.files_of(stored_files(read(spark, d, "documents")), "src2", "size")
+
+
+@_query(f"WITH {_FILES}, n AS (SELECT file_id, 'src9' AS project_id, name, size, 'pending' AS status FROM f WHERE file_id % 10 = 0 UNION ALL SELECT -1 - file_id, project_id, name, size, status FROM f WHERE file_id % 50 = 0)"
+    " SELECT * FROM f UNION ALL SELECT * FROM n WHERE file_id NOT IN (SELECT file_id FROM f)")
+def insert_files(spark, d):
+    files = stored_files(read(spark, d, "documents"))
+    again = files.where("file_id % 10 = 0").withColumn("project_id", F.lit("src9")).withColumn("status", F.lit("pending"))
+    new = files.where("file_id % 50 = 0").withColumn("file_id", -1 - F.col("file_id"))
+    return store.insert(files, again.unionByName(new), "file_id")
+
+
+@_query(f"WITH {_FILES} SELECT file_id, project_id, CASE WHEN file_id % 3 = 0 THEN 'renamed' ELSE name END AS name, size, CASE WHEN file_id % 6 = 0 THEN 'error' ELSE status END AS status FROM f")
+def patch_files(spark, d):
+    files = stored_files(read(spark, d, "documents"))
+    changes = files.where("file_id % 3 = 0").select("file_id", F.lit("renamed").alias("name"), F.when(F.col("file_id") % 6 == 0, "error").alias("status"))
+    return store.patch(files, changes, "file_id")
+
+
+@_query(f"""WITH {_FILES}, i AS (SELECT file_id, '#img_' || (file_id % 40) AS link, 'Picture ' || file_id AS alt FROM f), g AS (SELECT 'img_' || i AS id, 'data:image/png;base64,' || i AS data_url FROM range(0, 30) t(i))
+SELECT file_id, coalesce(data_url, '[Image: ' || alt || ']') AS shown FROM i LEFT JOIN g ON link = '#' || id""")
+def image_lookup(spark, d):
+    files = stored_files(read(spark, d, "documents"))
+    links = files.select("file_id", F.concat(F.lit("![Picture "), F.col("file_id").cast("string"), F.lit("](#img_"), (F.col("file_id") % 40).cast("string"), F.lit(")")).alias("markdown"))
+    images = spark.range(30).select(F.concat(F.lit("img_"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("data:image/png;base64,"), F.col("id").cast("string")).alias("data_url"))
+    return store.shown_images(links, images, "file_id").select("file_id", "shown")
+
+
+_STYLED = f"""{_LINES}, {_PRINTED}, st AS (SELECT doc_id, line_no // 5 AS block, text, font_size, CASE WHEN line_no % 3 = 0 THEN 'Times-Bold' WHEN line_no % 7 = 0 THEN 'Times-Italic' ELSE 'Times' END AS font FROM pl)"""
+
+
+@_query(f"""WITH {_STYLED}, w AS (SELECT doc_id, block, sum(length(text)) AS n, sum(font_size * length(text)) AS s, sum(CASE WHEN contains(lower(font), 'bold') THEN length(text) ELSE 0 END) AS b, sum(CASE WHEN contains(lower(font), 'italic') THEN length(text) ELSE 0 END) AS i FROM st GROUP BY doc_id, block),
+a AS (SELECT *, CASE WHEN n > 0 THEN s / n ELSE 12.0 END AS size FROM w)
+SELECT doc_id, CAST(block AS BIGINT) AS block, round(size, 6) AS size, CASE WHEN size >= 15 THEN 1 WHEN size >= 12.5 THEN 2 WHEN size >= 11 THEN 3 ELSE 0 END AS level, b > 0.5 * n AS bold, i > 0.5 * n AS italic FROM a""")
+def block_styles(spark, d):
+    rows = printed_lines(_docs(spark, d)).withColumn("block", F.floor(F.col("line_no") / 5)).withColumn("font", F.when(F.col("line_no") % 3 == 0, "Times-Bold").when(F.col("line_no") % 7 == 0, "Times-Italic").otherwise("Times"))
+    return fonts.block_styles(rows, ["doc_id", "block"], F.lit(10.0)).withColumn("size", F.round("size", 6))
+
+
+@_query(f"""WITH {_CELLS} SELECT grid, c, CASE WHEN sum(CASE WHEN {_IS_NUMERIC} THEN 1 ELSE 0 END) > 0.5 * count(*) FILTER (length(trim(text)) > 0) THEN 'right' ELSE 'left' END AS alignment FROM g GROUP BY grid, c""")
+def whole_column_alignments(spark, d):
+    c = F.col("text")
+    numeric, filled = F.sum(T.is_numeric(c).cast("int")), F.sum((F.length(T.trim(c)) > 0).cast("int"))
+    return order_cells(read(spark, d, "lineitem")).groupBy("grid", "c").agg(F.when(numeric > 0.5 * filled, "right").otherwise("left").alias("alignment"))
+
+
+_SPANS = f"""{_LINES}, sp AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 0 THEN upper(substr(s, 1, 1)) ELSE lower(s) END AS text, CASE WHEN line_no % 4 = 0 THEN CAST(30 AS DOUBLE) ELSE CAST(12 AS DOUBLE) END AS font_size FROM l)"""
+
+
+@_query(f"""WITH {_SPANS}, me AS (SELECT doc_id, list_sort(list(font_size))[len(list(font_size)) // 2 + 1] AS median FROM sp GROUP BY doc_id),
+x AS (SELECT sp.*, regexp_matches({_TRIM('text')}, '^[A-Z]$') AND font_size >= 1.5 * median AS cap, lead(text) OVER w AS after, lead(font_size) OVER w AS after_size FROM sp JOIN me ON sp.doc_id = me.doc_id WINDOW w AS (PARTITION BY sp.doc_id ORDER BY line_no)),
+y AS (SELECT *, coalesce(cap AND regexp_matches({_TRIM('after')}, '^[a-z]'), false) AS takes FROM x), z AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS gone FROM y)
+SELECT doc_id, line_no, CASE WHEN takes THEN {_TRIM('text')} || after ELSE text END AS text, CASE WHEN takes THEN after_size ELSE font_size END AS font_size FROM z WHERE NOT gone""")
+def drop_caps(spark, d):
+    rows = lines.lines_of(_docs(spark, d))
+    text = F.when(F.col("line_no") % 4 == 0, F.upper(F.substring("raw", 1, 1))).otherwise(F.lower("raw"))
+    return lines.without_drop_caps(rows.select("doc_id", "line_no", text.alias("text"), F.when(F.col("line_no") % 4 == 0, 30.0).otherwise(12.0).alias("font_size")))
+
+
+_CHECKED = rf"""{_LINES}, j AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM m GROUP BY doc_id)"""
+
+
+@_query(rf"""WITH {_CHECKED}, c AS (SELECT t, len(regexp_extract_all(t, '[A-Za-z0-9_]+')) AS words, length(regexp_replace(t, '{_WS}', '', 'g')) AS chars, len(regexp_extract_all(t, '(?m)^\|.*\|$')) AS rows_, len(regexp_extract_all(t, '(?m)^\|[\s:-]+\|$')) AS seps,
+  length(t) - length(replace(t, '$', '')) AS dollars, (length(t) - length(replace(t, '**', ''))) // 2 AS bolds, length(regexp_replace(t, '\*{{2,}}', '', 'g')) - length(replace(regexp_replace(t, '\*{{2,}}', '', 'g'), '*', '')) AS stars, doc_id FROM j)
+SELECT doc_id, words, len(regexp_extract_all(t, '(?m)^#+{_WS}+.+$')) AS headings, len(regexp_extract_all(t, '(?m)^{_WS}*[-*+0-9.]+{_WS}+.+$')) AS lists, stars % 2 = 0 AND bolds % 2 = 0 AS emphasis_even, rows_ < 2 OR seps > 0 AS tables_ruled, chars = 0 OR chars BETWEEN 2 * greatest(words, 1) AND 15 * greatest(words, 1) AS word_density FROM c""")
+def markdown_warnings(spark, d):
+    whole = documents.lines_to_text(marked_lines(_docs(spark, d)), "doc_id", "line_no", "raw")
+    return lines.warnings(whole)
+
+
+@_query(rf"""WITH {_CHECKED}, v AS (SELECT length({_TRIM('t')}) > 0 AND NOT contains(t, 'undefined') AND NOT contains(t, '[object Object]') AND NOT contains(t, repeat(chr(10), 4)) AND (length(t) - length(replace(t, '```', ''))) // 3 % 2 = 0 AND len(regexp_extract_all(t, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) * 100 < length(t) AS ok FROM j)
+SELECT count(*) AS files, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed FROM v""")
+def validation_summary(spark, d):
+    checked = lines.validate(documents.lines_to_text(marked_lines(_docs(spark, d)), "doc_id", "line_no", "raw"))
+    return checked.agg(F.count("*").alias("files"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.count(F.when(~F.col("passed"), 1)).alias("failed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .islands import ordered
 
 #: Size of text without one, and the least multiples of the body size of first to third headings.
@@ -38,3 +39,12 @@ def line_heights(lines: DataFrame) -> DataFrame:
     mean = F.avg(F.when(F.col("gap") > 0, F.col("gap")))
     height = F.when(F.count("*") < 2, F.lit(DEFAULT_SIZE)).otherwise(F.coalesce(mean, 1.2 * F.avg("font_size")))
     return gaps.groupBy("doc_id", "page_no").agg(F.count("*").alias("n_lines"), height.alias("height"))
+
+
+def block_styles(rows: DataFrame, keys: list[str], body: Column, text: str = "text", size: str = "font_size", font: str = "font") -> DataFrame:
+    """(keys, size, level, bold, italic) of blocks of lines: sizes and styles weighted by characters; 12 without any."""
+    n = F.length(text)
+    styled = lambda kind: F.sum(F.when(F.lower(font).contains(kind), n).otherwise(0))
+    sums = rows.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(F.col(size) * n).alias("s"), styled("bold").alias("b"), styled("italic").alias("i"))
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(12.0)
+    return sums.select(*keys, mean.alias("size"), T.heading_level(mean, body).alias("level"), (F.col("b") > 0.5 * F.col("n")).alias("bold"), (F.col("i") > 0.5 * F.col("n")).alias("italic"))

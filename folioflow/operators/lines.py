@@ -100,3 +100,32 @@ def remove_running_lines(pages: DataFrame, patterns: DataFrame, key: str, page:
     own = patterns.groupBy(key).agg(F.array_sort(F.collect_set("pattern")).alias("patterns"))
     gone = lambda s: (F.length(T.trim(s)) > 0) & F.exists(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: T.jaccard(T.comparable(s), p) >= similar)
     return pages.join(own, key, "left").select(key, page, F.array_join(F.filter(F.split(text, "\n"), lambda s: ~gone(s)), "\n").alias("text"))
+
+
+def without_drop_caps(spans: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """Spans (key, order, text, font_size) with single large capitals put before the lower-case span that follows them.
+
+    Large is 1.5 times the upper median of the document's sizes.
+    """
+    sizes = spans.groupBy(key).agg(F.sort_array(F.collect_list("font_size")).alias("sizes")).select(key, F.get("sizes", F.floor(F.size("sizes") / 2).cast("int")).alias("median"))
+    w = ordered([key], [order])
+    own = spans.join(sizes, key)
+    cap = T.trim(F.col("text")).rlike(r"^[A-Z]\z") & (F.col("font_size") >= F.col("median") * 1.5)
+    takes = F.coalesce(cap & T.trim(F.lead("text").over(w)).rlike("^[a-z]"), F.lit(False))
+    own = own.withColumn("takes", takes).withColumn("after", F.lead("text").over(w)).withColumn("after_size", F.lead("font_size").over(w))
+    own = own.withColumn("gone", F.coalesce(F.lag("takes").over(w), F.lit(False))).where("not gone")
+    return own.select(key, order, F.when(F.col("takes"), F.concat(T.trim(F.col("text")), "after")).otherwise(F.col("text")).alias("text"), F.when(F.col("takes"), F.col("after_size")).otherwise(F.col("font_size")).alias("font_size"))
+
+
+def warnings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Counts of each Markdown text, and the checks of which a failure is a warning."""
+    c = F.col(text)
+    count = lambda x, pattern: F.regexp_count(x, F.lit(pattern)).cast("bigint")
+    words, chars = count(c, "[A-Za-z0-9_]+"), F.length(F.regexp_replace(c, T.WS, ""))
+    lone, bold = F.regexp_replace(c, r"\*{2,}", ""), (F.length(c) - F.length(F.replace(c, F.lit("**"), F.lit("")))) / 2
+    least = F.greatest(words, F.lit(1))
+    return docs.select(
+        key, words.alias("words"), count(c, rf"(?dm)^#+{T.WS}+.+$").alias("headings"), count(c, rf"(?dm)^{T.WS}*[-*+0-9.]+{T.WS}+.+$").alias("lists"),
+        ((T.count_of(lone, "*") % 2 == 0) & (bold % 2 == 0)).alias("emphasis_even"), ((count(c, r"(?dm)^\|.*\|$") < 2) | (count(c, r"(?dm)^\|[\s:-]+\|$") > 0)).alias("tables_ruled"),
+        ((chars == 0) | ((chars >= 2 * least) & (chars <= 15 * least))).alias("word_density"),
+    )

@@ -8,6 +8,8 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators import assemble, formulas, layout, tables, vision
 
@@ -16,15 +18,16 @@ Row = dict[str, Any]
 
 def per_page(pages: DataFrame, each: Callable[[Row], Iterator[Row]], schema: str, keys: tuple[str, ...]) -> DataFrame:
     """The rows that `each` makes of every page, with the page's keys first. A page is one row and is handled alone."""
-    ddl = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys) + ", " + schema
+    made = StructType([pages.schema[k] for k in keys] + StructType.fromDDL(schema).fields)
+    arrow = to_arrow_schema(made)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [{**{k: row[k] for k in keys}, **made} for row in batch.to_pylist() for made in each(row)]
+            out = [{**{k: row[k] for k in keys}, **new} for row in batch.to_pylist() for new in each(row)]
             if out:
-                yield pa.RecordBatch.from_pylist(out)
+                yield pa.RecordBatch.from_pylist(out, arrow)
 
-    return pages.mapInArrow(go, ddl)
+    return pages.mapInArrow(go, made)
 
 
 def detect_tables(pages: DataFrame, keys: tuple[str, ...]) -> DataFrame:
