@@ -65,7 +65,7 @@ _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OP3 = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '{_WORDS}') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '{_WORDS}') AS w, regexp_split_to_array(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '{_WORDS}') AS gaps FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, '{_AZ}', '{_az}'), '{_WORDS}') AS w FROM benchmark WHERE text IS NOT NULL),
 i AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS run
@@ -75,12 +75,16 @@ r AS (
   SELECT doc_id, s, size, array_to_string(w[s : s + size - 1], ' ') AS run
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size)),
 h AS (SELECT DISTINCT doc_id, s, r.size, item_id FROM r JOIN i ON r.run = i.run AND r.size = i.size),
-hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM h) GROUP BY doc_id),
+hp AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM h)),
+hr AS (SELECT doc_id, min(p) AS a, max(p) AS b, count(*) AS n FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hp) GROUP BY doc_id, k),
+hs AS (SELECT hr.doc_id, a, n, list_sum(list_transform(gaps[1 : a], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1 : a - 1], lambda x: length(x))), 0) AS x,
+  list_sum(list_transform(gaps[1 : b], lambda x: length(x))) + list_sum(list_transform(w[1 : b], lambda x: length(x))) AS y FROM hr JOIN d ON hr.doc_id = d.doc_id),
+hit AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_hit, string_agg(x || ':' || y, ',' ORDER BY a) AS spans FROM hs GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
