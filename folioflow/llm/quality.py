@@ -55,7 +55,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     """Count n-grams of all whole texts, and of all those whose id is in `trusted`, into hashed buckets.
 
     `trusted` has a column doc_id; its repeated and null ids count for nothing. A bitmap of its ids, of fixed size, spares most
-    other texts the exact join by id. Counts are added up in each task and then by bucket, so what is shuffled of them is
+    other texts the exact join by id, which is one of sorted rows at every size. Counts are added up in each task and then by bucket, so what is shuffled of them is
     2^BUCKET_BITS rows a task at most, and as many reach the driver. Both multinomials get the same mass and one more of each
     bucket: log((t + 1) / (r + 1)) with r scaled to t's total. Null texts count for nothing. Without trusted text all ratios
     are 0.
@@ -70,16 +70,16 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(kept.columns[:2], ["doc_id", "text"])
 
     named = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"), filter_place(id_col)).where("text is not null")
-    target = _counts(mapped(named.where("doc_id is not null"), likely, "doc_id string, text string").join(ids, "doc_id", "left_semi").select("text"))
-    raw_counts = _counts(named.select("text"))
+    target = _counts(mapped(named.where("doc_id is not null"), likely, "doc_id string, text string").join(ids.hint("merge"), "doc_id", "left_semi").select("text"), "t")
+    raw_counts = _counts(named.select("text"), "n")
     total = target.sum()
     if not total:
         return Ratio(np.zeros(1 << BUCKET_BITS, dtype=np.float32))
     return Ratio(np.log((target + 1) / (raw_counts * (total / raw_counts.sum()) + 1)).astype(np.float32))
 
 
-def _counts(texts: DataFrame) -> np.ndarray:
-    """How many n-grams of a frame (text) fall into each bucket."""
+def _counts(texts: DataFrame, name: str) -> np.ndarray:
+    """How many n-grams of a frame (text) fall into each bucket; `name` is that of the count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
@@ -87,11 +87,11 @@ def _counts(texts: DataFrame) -> np.ndarray:
             for part in slices(batch, 0):
                 own += np.bincount(grams(*utf8(part.column(0)))[0], minlength=len(own))
         full = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(own[full])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(own[full])], ["bucket", name])
 
-    rows = mapped(texts, count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = mapped(texts, count, f"bucket bigint, {name} bigint").groupBy("bucket").agg(F.sum(name).alias(name)).toArrow()
     out = np.zeros(1 << BUCKET_BITS)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    out[rows.column("bucket").to_numpy()] = rows.column(name).to_numpy()
     return out
 
 
