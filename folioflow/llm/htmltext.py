@@ -45,7 +45,7 @@ _TABLE = frozenset("table caption tbody thead tfoot tr td th".split())
 #: Parts of class names that say what an element is; a name says so if all its parts do or are among _NEUTRAL, as in "site-nav",
 #: but not in "ad-hoc". Readers' comments have their own.
 _COMMENTS = frozenset("comment comments disqus replies respond".split())
-_CLASSES = _COMMENTS | frozenset("ad ads adbox advert adverts advertisement advertising adsense adsbygoogle adslot banner sponsor sponsored promo promotion promoted sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended toolbar pagination pager login masthead topbar".split())
+_CLASSES = _COMMENTS | frozenset("ad ads adbox advert adverts advertisement advertising adsense adsbygoogle adslot banner sponsor sponsored promo promotion promoted side sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended toolbar pagination pager login masthead topbar".split())
 _NEUTRAL = frozenset("left right top bottom main site page global primary secondary header head bar box block wrap wrapper container inner outer area section module widget item items list links link buttons button icons group unit slot zone text form message posts stories articles media mobile desktop sticky fixed small large first last google js".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+(?:x\d+)?")
 
