@@ -1,6 +1,8 @@
 """Operators over pages, texts and stores against worked cases."""
 
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from folioflow.functions import cells
 from folioflow.functions import text as T
 from folioflow.operators import assemble, formulas, grids, layout, lines, store, tables, vision
 from folioflow.plans import documents, pages
+from folioflow.sources import sinks
 
 
 def spread(text, y, left, right, size=12.0):
@@ -190,3 +193,10 @@ def test_store(spark):
     key, other = F.lit("k" * 32), F.lit("o" * 32)
     own = spark.range(1).select(store.encrypted(F.lit("secret"), key).alias("e"))
     assert own.select(store.decrypted(F.col("e"), key)).head()[0] == "secret" and own.select(store.decrypted(F.col("e"), other)).head()[0] == ""
+
+
+def test_zip(spark):
+    rows = [(1, "a.PDF", "old", "completed"), (2, "a.PDF", "new", "completed"), (3, "b.pdf", None, "completed"), (4, "c.pdf", "x", "pending")]
+    got = sinks.zipped(spark.createDataFrame(rows, "file_id int, name string, markdown string, status string")).collect()
+    archive = zipfile.ZipFile(io.BytesIO(got[0].content))
+    assert len(got) == 1 and got[0].entries == 2 and {n: archive.read(n) for n in archive.namelist()} == {"a.md": b"new", "b.md": b""}
