@@ -253,7 +253,7 @@ y AS (SELECT *, coalesce(cap AND regexp_matches({_TRIM('after')}, '^[a-z]'), fal
 SELECT doc_id, line_no, CASE WHEN takes THEN {_TRIM('text')} || after ELSE text END AS text, CASE WHEN takes THEN after_size ELSE font_size END AS font_size FROM z WHERE NOT gone""")
 def drop_caps(spark, d):
     rows = lines.lines_of(_docs(spark, d))
-    text = F.when(F.col("line_no") % 4 == 0, F.upper(F.substring("raw", 1, 1))).otherwise(F.lower("raw"))
+    text = F.when(F.col("line_no") % 4 == 0, T.upper_letter(F.substring("raw", 1, 1))).otherwise(T.lower(F.col("raw")))
     return lines.without_drop_caps(rows.select("doc_id", "line_no", text.alias("text"), F.when(F.col("line_no") % 4 == 0, 30.0).otherwise(12.0).alias("font_size")))
 
 

@@ -16,12 +16,30 @@ OPEN_WORDS = tuple("the a an and or but in on at to for of with that this is are
 CELL_WORDS = tuple("the a an is are was were be been have has had to of in for on with at by from that this and or but we it as which".split())
 #: Words that mark prose beside mathematics.
 PROSE_WORDS = tuple("the a an is are was were has have had to of in for on with at by from that this and or but".split())
+#: Greek letters with a subscript iota, small and capital: in Unicode's simple case mapping each is one character.
+_IOTA = "".join(chr(x) for y in (0x1F80, 0x1F90, 0x1FA0) for x in range(y, y + 8)) + "\u1FB3\u1FC3\u1FF3", "".join(chr(x) for y in (0x1F88, 0x1F98, 0x1FA8) for x in range(y, y + 8)) + "\u1FBC\u1FCC\u1FFC"
+#: Letters whose case mapping is newer than the SQL engine's; it leaves them as they are.
+_NEWER_SMALL = "\u019B\u0264\u1C8A\uA7CD\uA7DB" + "".join(map(chr, range(0x10D70, 0x10D86)))
+_NEWER_LARGE = "\u1C89\uA7CB\uA7CC\uA7DA\uA7DC" + "".join(map(chr, range(0x10D50, 0x10D66)))
 
 
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
 
 
+def upper_letter(c: Column) -> Column:
+    """A single character in upper case as SQL has it: one character for one, so ß gives ẞ and not SS, and ligatures stay."""
+    one = F.translate(c, "ß" + _IOTA[0], "ẞ" + _IOTA[1])
+    return F.when((F.length(F.upper(one)) == 1) & ~F.lit(_NEWER_SMALL).contains(one), F.upper(one)).otherwise(one)
+
+
+def lower(c: Column) -> Column:
+    """Lower case as SQL has it: one character for one wherever it stands, so a final Σ gives σ, and İ gives i."""
+    plain = F.translate(c, "Σİ", "σi")
+    each = F.array_join(F.transform(F.split(plain, ""), lambda x: F.when(F.lit(_NEWER_LARGE).contains(x), x).otherwise(F.lower(x))), "")
+    return F.when(plain.rlike(f"[{_NEWER_LARGE}]"), each).otherwise(F.lower(plain))
+
+
 def list_kind(c: Column) -> Column:
     """'bullet', 'number' or null."""
     return F.when(c.rlike(rf"^[{BULLETS}]{WS}*"), "bullet").when(c.rlike(rf"^[0-9]+[.)]{WS}+"), "number")

@@ -1,8 +1,10 @@
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow import catalog
+from folioflow import catalog, catalog_plans
 from folioflow.functions import latex
 from folioflow.functions import text as T
 from folioflow.operators import fonts, lines, store
@@ -44,6 +46,23 @@ def test_markdown_sink(spark, tmp_path):
     assert {r.entry: r.value for r in spark.read.text(str(tmp_path / "out")).collect()}["a.md"] == "# é"
 
 
+def test_case_of_every_character_is_that_of_sql(spark, tmp_path):
+    rows = [(i, chr(i), f"{chr(i)}A {chr(i)}B\U00010D50\n") for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    pq.write_table(pa.table(dict(zip(("i", "c", "t"), zip(*rows)))), tmp_path / "c.parquet")
+    spark.read.parquet(str(tmp_path / "c.parquet")).select("i", T.upper_letter(F.col("c")).alias("u"), T.lower(F.col("c")).alias("l"), T.lower(F.col("t")).alias("t"), T.lower(F.concat(F.lit("x"), "c", F.lit("Σ"))).alias("e")).write.parquet(str(tmp_path / "out"))
+    own = f"SELECT i, upper(c) AS u, lower(c) AS l, lower(t) AS t, lower('x' || c || 'Σ') AS e FROM '{tmp_path}/c.parquet'"
+    assert duckdb.sql(f"({own}) EXCEPT SELECT i, u, l, t, e FROM '{tmp_path}/out/*.parquet'").fetchall() == []
+
+
+def test_drop_caps_of_letters_with_odd_cases(spark, tmp_path):
+    texts = ["ßa\nb\nc\nd\nßx\nΟΔΟΣ\nİI", "ŉ\nx", "ﬁ\nΣ", "ᾳ\nΑΣ ΑΣ", "é\nÉ", "a\nbc\nd", "", None, "\U00010D70\n\U00010D50A"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    got = catalog_plans.drop_caps(spark, str(tmp_path)).collect()
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+        assert sorted(map(tuple, got)) == sorted(base.execute(catalog.oracle_sql()["drop_caps"]).fetchall())
+
+
 def test_bullets(spark):
     frame = spark.createDataFrame([(1, "•\nFirst item text"), (2, "• Complete item\n• Another item")], "doc_id int, text string")
     got = {r.doc_id: r.text for r in lines.merge_bullets(lines.lines_of(frame)).collect()}
