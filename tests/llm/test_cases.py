@@ -140,6 +140,32 @@ def test_passages_that_many_own_in_pieces(spark):
     assert got == [(1001, 1000, 80)]
 
 
+def in_pieces(shared, n, first=0, size=14):
+    """Documents that have a piece each of a passage, every place of it in several of them."""
+    return [(first + k, " ".join([*[f"d{first + k}_{i}" for i in range(9)], *shared[7 * k % 67 : 7 * k % 67 + size]])) for k in range(n)]
+
+
+def test_passages_of_few_owners_between_owners_of_pieces(spark):
+    """The last document's seeds have their least and their nearest owner in pieces; the one that shares the whole is between."""
+    shared = [f"p{i}" for i in range(80)]
+    fuzzy = [f"c{i}" if i % 11 == 10 else w for i, w in enumerate(shared)]
+    rows = [*in_pieces(shared, 11), (500, " ".join(["a", *shared])), *in_pieces(shared, 11, 1000), (2000, " ".join(["b", "c", *shared])), (2001, " ".join(["e", *fuzzy]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for parts in (1, 5):
+        got = sorted((r.doc_id, r.ref_doc_id, r.n_matched) for r in substring.passages(frame.repartition(parts)).collect())
+        assert got == [(2000, 500, 80), (2001, 500, 73), (2001, 2000, 73)]
+
+
+def test_passages_of_many_owners_between_owners_of_pieces(spark):
+    """The same where all seeds have more owners than are linked in all pairs."""
+    shared = [f"p{i}" for i in range(80)]
+    rows = [*in_pieces(shared, 200), (500, " ".join(["a", *shared])), *in_pieces(shared, 200, 1000), (2000, " ".join(["b", "c", *shared])), (2001, " ".join(["e", *shared[10:60]]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for parts in (1, 5):
+        got = {(r.doc_id, r.ref_doc_id, r.n_matched) for r in substring.passages(frame.repartition(parts)).collect()}
+        assert got >= {(2000, 500, 80), (2001, 500, 50)} and {(d, r) for d, r, _ in got} <= {(2000, 500), (2001, 500), (2001, 2000)}
+
+
 def test_id_filter(spark):
     frame = spark.range(5000).select((F.col("id") * 7).alias("doc_id"))
     bits = id_filter(frame, "doc_id")
