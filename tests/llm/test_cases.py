@@ -1,8 +1,10 @@
 """Cases that single operators must get right: templates, push-down, long dialogues, rejection, hot groups."""
 
 import gzip
+import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.llm import chat, htmltext, langid, neardup, quality, substring, warc
@@ -166,6 +168,46 @@ def test_passages_of_many_owners_between_owners_of_pieces(spark):
         assert got >= {(2000, 500, 80), (2001, 500, 50)} and {(d, r) for d, r, _ in got} <= {(2000, 500), (2001, 500), (2001, 2000)}
 
 
+def test_passages_send_texts_once_a_document(spark, monkeypatch):
+    """Sixteen documents share three passages, so each pair has three chains; the texts are not shuffled for each chain."""
+    draw = random.Random(3)
+    own = lambda: [f"{draw.getrandbits(48):x}" for _ in range(1500)]
+    rows = [(k, " ".join(w for n in range(3) for w in [*own(), *[f"p{n}_{i}" for i in range(60)]])) for k in range(16)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    written = lambda: sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    want = [(d, k, 1560 * n + 1500, 60) for d in range(16) for k in range(d) for n in range(3)]
+    rows_of = lambda: sorted((r.doc_id, r.ref_doc_id, r.start_word, r.n_matched) for r in substring.passages(frame).collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        assert rows_of() == want
+        assert written() - before < 16 * sum(len(text) for _, text in rows)  # 33 with the texts for each chain; 11 now, most of them seeds
+        monkeypatch.setattr(substring, "CELL", 1 << 17)  # several cells
+        assert rows_of() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_growing_together_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(substring, "ALONE", 0)
+    draw = random.Random(5)
+    texts = []
+    for k in range(40):
+        base = [draw.choice("abcdefghijkl" if k % 2 else "ab") for _ in range(draw.choice((0, 1, 3, 20, 300)))]
+        edits = [draw.choice(([w], [w], [w], [w], [w], [w], [w], [], ["z"], [w, "q"])) for w in base]
+        texts += [" " + "  ".join(base) + draw.choice(("", "\n")), "\t".join(w for x in edits for w in x).upper()]
+    number, first, end = substring._numbered(pa.array(texts))
+    words = [t.lower().split() for t in texts]
+    assert (end - first).tolist() == [len(w) for w in words]
+    for step in (1, -1):
+        jobs = [(k, k + 1, draw.randint(0, len(words[k])) - (step < 0), draw.randint(0, len(words[k + 1])) - (step < 0)) for k in range(0, 80, 2) for _ in range(20)]
+        a, b, i, j = np.array(jobs).T
+        got = substring._grow_all(number, (first[a], end[a]), i + first[a], (first[b], end[b]), j + first[b], step)
+        got = list(zip(got[0].tolist(), (got[1] - first[a]).tolist(), (got[2] - first[b]).tolist()))
+        assert got == [substring._grow(words[k], x, words[n], y, step) for k, n, x, y in jobs]
+
+
 def test_id_filter(spark):
     frame = spark.range(5000).select((F.col("id") * 7).alias("doc_id"))
     bits = id_filter(frame, "doc_id")
