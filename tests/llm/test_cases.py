@@ -189,6 +189,13 @@ def test_passages_send_texts_once_a_document(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_passages_beyond_the_text_of_a_repeated_id(spark):
+    """Two ids share a passage in their long texts only; their least texts, which are aligned, end before it."""
+    shared = [f"p{i}" for i in range(80)]
+    rows = [(k, " ".join([f"a{k}", *[f"x{k}_{i}" for i in range(50)]])) for k in (1, 2)] + [(k, " ".join([*[f"z{k}_{i}" for i in range(90)], *shared])) for k in (1, 2)]
+    assert substring.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() == []
+
+
 def test_growing_together_as_one_by_one(monkeypatch):
     monkeypatch.setattr(substring, "ALONE", 0)
     draw = random.Random(5)
